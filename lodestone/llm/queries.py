@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
 from lodestone.llm.idstore import store_documents
+from lodestone.llm.licenses import license_digest, scan_licenses
 from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.quality import crc_fold, score, train
 from lodestone.llm.simhash import near_duplicates
 
 
@@ -18,10 +20,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(documents(spark, sf_dir)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold=lambda i: crc_fold(i, 3) != 1)
+    scored = score(docs, model)
+    return scored.select("doc_id", (F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False))).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op9_idstore, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op8_quality, op9_idstore, op10_mixing)}
 ORACLES: dict[str, str] = {}
