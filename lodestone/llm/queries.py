@@ -13,6 +13,7 @@ from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import crc_fold, score, train
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.substrings import dedup_substrings
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold=lambda i: crc_fold(i, 3) != 1)
@@ -43,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op8_quality, op9_idstore, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
 ORACLES: dict[str, str] = {}
