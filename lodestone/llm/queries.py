@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents
 from lodestone.llm.idstore import store_documents
 from lodestone.llm.licenses import license_digest, scan_licenses
+from lodestone.llm.lm import score_documents
 from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import crc_fold, score, train
@@ -29,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
@@ -48,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op5_lm, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
 ORACLES: dict[str, str] = {}
