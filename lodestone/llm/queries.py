@@ -15,6 +15,7 @@ from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import crc_fold, score, train
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.substrings import dedup_substrings
+from lodestone.llm.winnowing import edit_likeness
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(documents(spark, sf_dir))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(documents(spark, sf_dir)))
 
@@ -53,5 +58,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_packing, op5_lm, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_winnowing, op3_licenses, op4_packing, op5_lm, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
 ORACLES: dict[str, str] = {}
