@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
+from lodestone.llm.hnsw import near_duplicate_vectors
 from lodestone.llm.idstore import store_documents
 from lodestone.llm.licenses import license_digest, scan_licenses
 from lodestone.llm.lm import score_documents
@@ -39,6 +40,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
@@ -58,5 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_winnowing, op3_licenses, op4_packing, op5_lm, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_winnowing, op3_licenses, op4_packing, op5_lm, op6_hnsw, op7_substrings, op8_quality, op9_idstore, op10_mixing)}
 ORACLES: dict[str, str] = {}
