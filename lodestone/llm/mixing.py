@@ -29,15 +29,16 @@ def poisson_steps(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, grow, lambda acc: acc["all"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "source", epochs: float = 1.0) -> DataFrame:
-    """(source, n, rate) per source, null included: target rows over rows. Without weights every source has the same target.
+def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "source", epochs: float = 1.0, temper: float = 0.5) -> DataFrame:
+    """(source, n, rate) per source, null included: target rows over rows. Without weights a source's target is its count to the power temper:
+    1 keeps the corpus as it is, 0 makes all sources alike.
 
     Sources with no weight given get rate 0. Targets of sources that have no rows are left out and the rest scaled up,
     so the mixture's mean size is epochs times the corpus.
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        weight = F.lit(1.0)
+        weight = F.pow(F.col("n").cast("double"), F.lit(temper))
     else:
         if any(w < 0 or not math.isfinite(w) for w in weights.values()):
             raise ValueError("weights must be finite and not negative")
@@ -48,7 +49,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "
     return counts.crossJoin(F.broadcast(total)).select("source", "n", F.coalesce(F.try_divide(F.col("weight") * F.col("all_n") * F.lit(epochs), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", seed: int = 42, epochs: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", seed: int = 42, epochs: float = 1.0, temper: float = 0.5) -> DataFrame:
     """docs with each row repeated by its draw, ordered by a global hash; adds mix_copy (from 0), mix_copies and mix_key.
 
     Rows that draw 0 are left out: that is the method. Null sources are a source of their own; a null id draws as the
@@ -56,7 +57,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     """
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
     names = docs.columns
-    steps = rates(docs, weights, source_col, epochs).select(F.col("source").alias("_mix_source"), F.when(F.col("rate") > 700, F.array().cast("array<double>")).otherwise(poisson_steps(F.least("rate", F.lit(700.0)))).alias("_mix_steps"), F.col("rate").alias("_mix_rate"))
+    steps = rates(docs, weights, source_col, epochs, temper).select(F.col("source").alias("_mix_source"), F.when(F.col("rate") > 700, F.array().cast("array<double>")).otherwise(poisson_steps(F.least("rate", F.lit(700.0)))).alias("_mix_steps"), F.col("rate").alias("_mix_rate"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     u = uniform(key, f"draw-{seed}")
     drawn = docs.join(steps, F.col(source_col).eqNullSafe(F.col("_mix_source")))

@@ -193,16 +193,19 @@ def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id",
     params = None if model is None else model.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_score_text"):
+        at = len(keep) if text_at is None else text_at
+        for batch in slices(batches, at):
             if params is None:
                 s = np.full(batch.num_rows, 0.5)
             else:
-                s = AttentionModel(params).forward(*passages(batch.column("_score_text")))["score"]
+                s = AttentionModel(params).forward(*passages(batch.column(at)))["score"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(s, pa.float64())], [*keep, "quality_score"])
 
     kept = docs.select(*keep)
+    text_at = keep.index(text_col) if text_col in keep and dict(kept.dtypes)[text_col] == "string" else None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", quality_score double"
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_score_text")).mapInArrow(run, schema)
+    sent = kept if text_at is not None else docs.select(*keep, F.col(text_col).cast("string").alias("_score_text"))
+    return sent.mapInArrow(run, schema)
 
 
 def crc_fold(col, modulus: int):

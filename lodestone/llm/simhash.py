@@ -9,10 +9,17 @@ query updates 64 distances at once through a carry-save counter and a word is ab
 once all its lanes exceed the radius. Buckets beyond a size are cut into chunks that are
 compared chunk by chunk in different tasks. Each task emits a spanning star of what it
 linked, never the pairs, and components are found over those stars.
+
+similar_documents() is the form for a wanted likeness of shingle sets. A radius of a few of
+64 bits is far too small for that: at a likeness of 0.8 fingerprints differ in 15 % of bits.
+So it takes 256 bits, a radius that follows from the likeness, and tables keyed by random
+choices of bits, enough of them that a pair at the likeness shares a bucket with the asked
+probability; the comparison is the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -30,19 +37,24 @@ SEED = 42
 MAX_BUCKET = 65_536
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of a whole text; null and wordless texts give zero."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; fewer words are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle_words:
-        return xxh64_intdigest(b" ".join(words), SEED)  # one hash: each of its bits is a majority
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - shingle_words + 1
     shingles = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist())]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
         part = hashes[at : at + 65_536]
@@ -50,6 +62,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit SimHash of a whole text; null and wordless texts give zero."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row's whole text."""
 
@@ -61,22 +78,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
 
 
-def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int, chunk: int = 1 << 19) -> Sets:
-    """Sets of row numbers linked at radius or less. Row i is compared with the rows after it and before end[i]."""
-    n = len(fps)
+def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int, chunk: int = 1 << 18) -> Sets:
+    """Sets of row numbers linked at radius or less. Row i is compared with the rows after it and before end[i].
+
+    fps holds one or more 64-bit words a row. Counters start so high that their carry out says that a lane has gone
+    beyond the radius.
+    """
+    if not len(fps):
+        return Sets(0)
+    fps = fps.reshape(len(fps), -1)
+    n, n_bits = len(fps), 64 * fps.shape[1]
     sets = Sets(n)
     words = -(-n // 64)
-    padded = np.zeros(words * 64, np.uint64)
-    padded[:n] = fps
-    lanes = padded.reshape(words, 64)
-    lane_bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    full = ~np.uint64(0)
-    planes = np.empty((64, words), np.uint64)
-    for b in range(64):
-        planes[b] = np.bitwise_or.reduce(np.where((lanes >> np.uint64(b)) & np.uint64(1), lane_bits, np.uint64(0)), axis=1)
+    one, full = np.uint64(1), ~np.uint64(0)
+    planes = np.empty((n_bits, words), np.uint64)
+    lane_bits = one << np.arange(64, dtype=np.uint64)
+    for k in range(fps.shape[1]):
+        padded = np.zeros(words * 64, np.uint64)
+        padded[:n] = fps[:, k]
+        lanes = padded.reshape(words, 64)
+        for b in range(64):
+            planes[64 * k + b] = (((lanes >> np.uint64(b)) & one) * lane_bits).sum(axis=1, dtype=np.uint64)
     first = np.arange(n) + 1
     n_words = np.where(end > first, (end - 1) // 64 - first // 64 + 1, 0)
-    digits = radius.bit_length()
+    digits = (radius + 1).bit_length()
+    preset = (1 << digits) - (radius + 1)
     upto = np.cumsum(n_words)
     at = 0
     while at < n:  # rows at..to give about chunk (row, word) pairs
@@ -86,22 +112,17 @@ def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int, chunk: int =
         word = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row] // 64
         lo = np.clip(first[row] - word * 64, 0, 64)
         hi = np.clip(end[row] - word * 64, 0, 64)
-        below = lambda k: np.where(k >= 64, full, (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
+        below = lambda k: np.where(k >= 64, full, (one << np.minimum(k, 63).astype(np.uint64)) - one)
         over = ~(below(hi) & ~below(lo))  # lanes outside the row's range count as beyond the radius
-        counter = [np.zeros(len(row), np.uint64) for _ in range(digits)]
-        for b in range(64):
+        counter = [np.full(len(row), full if preset >> d & 1 else np.uint64(0)) for d in range(digits)]
+        for b in range(n_bits):
             if not len(row):
                 break
-            carry = planes[b][word] ^ np.where((fps[row] >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
+            carry = planes[b][word] ^ (np.uint64(0) - ((fps[row, b // 64] >> np.uint64(b % 64)) & one))
             for d in range(digits):  # carry-save addition of one bit to every lane's counter
                 counter[d], carry = counter[d] ^ carry, counter[d] & carry
             over |= carry
-            if radius + 1 < 1 << digits:  # counters that have reached radius + 1
-                hit = full
-                for d in range(digits):
-                    hit = hit & (counter[d] if (radius + 1) >> d & 1 else ~counter[d])
-                over |= hit
-            if b % 4 == 3:
+            if b > radius and b % 8 == 7 or b + 1 == n_bits:
                 alive = over != full
                 if not alive.all():
                     row, word, over = row[alive], word[alive], over[alive]
@@ -125,7 +146,6 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
 
     radius + agree blocks, of which agree must match: more of them make smaller buckets and more tables.
     """
-    spark = distinct.sparkSession
     blocks = _blocks(radius + agree)
     tables = []
     for t, chosen in enumerate(combinations(blocks, agree)):
@@ -134,10 +154,17 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")))
         tables.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
     keys = distinct.select("rep", "fp", F.explode(F.array(*tables)).alias("k")).select("rep", "fp", "k.t", "k.key")
+    return _compared(keys.select("t", "key", "rep", F.col("fp").alias("f0")), 1, radius, max_bucket)
+
+
+def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int) -> DataFrame:
+    """(a, b): stars over the rows (t, key, rep, f0, ...) that share a bucket (t, key) and lie within radius."""
+    spark = keys.sparkSession
+    prints = [f"f{k}" for k in range(n_words)]
     big = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("t", "key", F.ceil(F.col("n") / max_bucket).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, own) * F.col("chunks") + F.greatest(o, own))
-    parts = keys.join(big, ["t", "key"], "left").select("t", "key", "rep", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
+    parts = keys.join(big, ["t", "key"], "left").select("t", "key", "rep", *prints, F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -149,13 +176,13 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
             end = np.repeat(starts + sizes, sizes)
             several = np.repeat(sizes > 1, sizes)  # lone rows take no lane
             rows, end = rows[several], (np.concatenate([[0], np.cumsum(several)])[end])[several]
-            a, b = bit_sliced_links(np.ascontiguousarray(rows[:, 4]).view(np.uint64), end, radius).links()
+            a, b = bit_sliced_links(np.ascontiguousarray(rows[:, 4:]).view(np.uint64), end, radius).links()
             return pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "part", "rep", "fp")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "part", "rep", *prints)], axis=1)
             rows = np.concatenate([*held, rows])
             last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
@@ -165,7 +192,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
         if held and len(held[0]):
             yield work(held[0])
 
-    dealt = parts.repartition(partitions(spark), "t", "key", "part").sortWithinPartitions("t", "key", "part", "fp")
+    dealt = parts.repartition(partitions(spark), "t", "key", "part").sortWithinPartitions("t", "key", "part", "rep")
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -184,3 +211,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = connected_components(link_fingerprints(classes, radius, agree, max_bucket))
     of = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return marked.join(of, "fp", "left").select("id", "fp", "component")
+
+
+WIDE_WORDS = 4
+_SALTS = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+
+
+def wide_fingerprint(text: str | None, shingle_words: int) -> list[int]:
+    """256-bit SimHash of a whole text's set of shingles, as four unsigned words."""
+    h = np.unique(shingle_hashes(text, shingle_words))
+    out = []
+    for salt in _SALTS:
+        x = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Differing bits expected at a Jaccard likeness, and 1.3 standard deviations, so that about nine of ten pairs right at it pass."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(bits * share + 1.3 * math.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int = 16, tables: int = 40, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(id, component): documents whose shingle sets are estimated to be alike at similarity or more, in components.
+
+    With 40 tables of 16 bits a pair right at 0.8 shares a bucket with probability 0.95, one at 0.85 with 0.99. Null and
+    empty texts are alike. Rows with a null id are left out. Rows that repeat an id are returned once each.
+    """
+    radius = wide_radius(similarity)
+    rng = np.random.default_rng(SEED)
+    chosen = [np.sort(rng.permutation(64 * WIDE_WORDS)[:key_bits]) for _ in range(tables)]
+    prints = [f"f{k}" for k in range(WIDE_WORDS)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], np.uint64).reshape(-1, WIDE_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(WIDE_WORDS))], ["id", *prints])
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep = batch.column("rep").to_numpy()
+            fps = np.stack([batch.column(c).to_numpy() for c in prints], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(rep), -1), axis=1, bitorder="little")
+            weights = 1 << np.arange(key_bits)
+            for t, at in enumerate(chosen):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), t, np.int32)), pa.array(bits[:, at].astype(np.int64) @ weights), pa.array(rep), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE_WORDS))], ["t", "key", "rep", *prints])
+
+    wide = ", ".join(f"{c} bigint" for c in prints)
+    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = materialize(picked.mapInArrow(mark, f"id bigint, {wide}"), "wide-fingerprints")
+    classes = materialize(marked.groupBy(*prints).agg(F.min("id").alias("rep")), "wide-classes")
+    keys = classes.mapInArrow(key, f"t int, key bigint, rep bigint, {wide}")
+    nodes = connected_components(_compared(keys, WIDE_WORDS, radius, max_bucket))
+    of = classes.join(nodes, F.col("rep") == F.col("node"), "left").select(*prints, F.coalesce("component", "rep").alias("component"))
+    return marked.join(of, prints, "left").select("id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with the document of the smallest id of each component of similar_documents(), all columns kept.
+
+    Rows with a null id stay, as nothing can be told apart by it. Of rows that repeat an id one stays.
+    """
+    found = materialize(similar_documents(docs, id_col, text_col, **how), "similar")
+    stay = found.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    names = docs.columns
+    stay = stay.where("id = component")
+    kept = docs.join(stay.select(F.col("id").alias("_stay")), docs[id_col].cast("bigint") == F.col("_stay"), "left_semi").select(*names)
+    if stay.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()).select(*names))

@@ -59,11 +59,10 @@ def _expand(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _pack_batch(texts: pa.Array, ids: pa.Array) -> bytes:
+def _pack_batch(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.record_batch([ids, pc.fill_null(texts, "").cast(pa.large_string())], names=["id", "text"])
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_batch(table)
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
     return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
@@ -112,17 +111,17 @@ def _deltas(h: np.ndarray) -> np.ndarray:
     return np.diff(h, prepend=h[:1] * 0)
 
 
-def batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch_id, blob): documents of one input partition, a few MB of text at a time."""
+def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(batch_id, blob): documents of one input partition, a few MB of text at a time; columns id, text, c0, c1, ... for carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BATCH_BYTES):
-            blob = _pack_batch(batch.column("text"), batch.column("id"))
+            blob = _pack_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([blob], pa.binary())], ["batch_id", "blob"])
             seq += 1
 
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
     return materialize(picked.mapInArrow(run, "batch_id bigint, blob binary"), "batches")
 
 
@@ -264,7 +263,7 @@ def _with_answers(batches: DataFrame, answers: DataFrame, run, schema: str) -> D
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         got = right.column("answer").to_pylist()
-        return pa.Table.from_batches([run(row["batch_id"], row["blob"], got) for row in left.to_pylist()], schema=target)
+        return pa.Table.from_batches([run(row["batch_id"], row["blob"], got).cast(target) for row in left.to_pylist()], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -273,19 +272,21 @@ def _with_answers(batches: DataFrame, answers: DataFrame, run, schema: str) -> D
     return batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id")).applyInArrow(both, schema)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with with_text the kept words joined by one blank.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256; with carry, its columns instead of doc_id, the text column
+    among them holding the kept words joined by one blank where words were removed and the text as it was elsewhere.
 
     A word goes if a window of consecutive words that covers it also starts in a document with a smaller id; windows are
     judged on the input. Null and empty texts have no words. A row with a null id loses nothing and is no source. Rows that
-    repeat an id are documents of the same id: neither is earlier than the other. Other columns are not read.
+    repeat an id are documents of the same id: neither is earlier than the other. Columns not in carry are not read.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     block = window // 2
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    batches = batched(docs, id_col, text_col)
+    beside = [c for c in carry or [] if c != text_col]
+    batches = batched(docs, id_col, text_col, beside)
     hits = _probe(batches, block, ranges).groupBy("p").applyInArrow(lambda t: _hit(t, ranges), ANSWER)
     hits = materialize(hits, "hits")
 
@@ -295,7 +296,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     least = _with_answers(batches, hits, extend, ASK).groupBy("p").applyInArrow(_least, ANSWER)
     least = materialize(least, "least")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+    kinds = dict(docs.select(*beside).dtypes) if beside else {}
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string" + "".join(f", c{k} {kinds[c]}" for k, c in enumerate(beside))
+    with_text = carry is not None
 
     def finish(batch_id: int, blob: bytes, answers: list[bytes]) -> pa.RecordBatch:
         b = Batch(blob)
@@ -306,10 +309,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         kept_codes = b.codes[stay].tolist()
         kept = [b" ".join([words[c] for c in kept_codes[i:j]]) for i, j in zip(bounds, bounds[1:])]
         n = np.diff(b.first)
-        return pa.RecordBatch.from_arrays(
-            [b.ids, pa.array(n), pa.array(n - np.diff(bounds)), pa.array([sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept] if with_text else [None] * len(kept), pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
+        n_removed = n - np.diff(bounds)
+        changed = n_removed > 0
+        texts = pc.if_else(pa.array(changed), pa.array([k.decode() if c else None for k, c in zip(kept, changed.tolist())], pa.string()), b.rows.column("text").cast(pa.string())) if with_text else pa.nulls(len(kept), pa.string())
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(f"c{k}" for k in range(len(beside)))]
+        return pa.RecordBatch.from_arrays([b.ids, pa.array(n), pa.array(n_removed), pa.array([sha256(k).hexdigest() for k in kept], pa.string()), texts, *(b.rows.column(f"c{k}") for k in range(len(beside)))], names)
 
     out = _with_answers(batches, least, finish, schema)
-    return out if with_text else out.drop("kept")
+    found = [F.col(c) for c in ("n_words", "n_removed", "kept_sha256")]
+    if carry is None:
+        return out.select("doc_id", *found)
+    place = {c: F.col(f"c{k}").alias(c) for k, c in enumerate(beside)} | {text_col: F.col("kept").alias(text_col)}
+    return out.select(*(place[c] for c in carry), *(f.alias(c) for f, c in zip(found, ("dedup_words", "dedup_removed", "dedup_sha256"))))
