@@ -1,6 +1,324 @@
-"""Named queries over the driver's tables and the SQL that must give the same rows."""
+"""Named queries over the driver's tables and the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as fx
+from lodestone.functions.templates import expand
+from lodestone.operators import graphs, groups, joins, linediff, similarity, state
+from lodestone.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL of its rows if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _days(ts: Column) -> Column:
+    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+@query("""
+SELECT sha256(regexp_replace(lower(text), '[a-z0-9]+', 'w', 'g')) AS signature, count(*) AS members, count(DISTINCT source) AS files,
+       count(DISTINCT source) > 1 AS cross_file
+FROM documents GROUP BY 1 HAVING count(*) >= 2""")
+def clone_groups(spark, sf):
+    shape = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "w")
+    return groups.signature_groups(table(spark, sf, "documents"), shape, "source").drop("all_test")
+
+
+@query("""
+WITH g AS (SELECT sha256(regexp_replace(lower(text), '[a-z0-9]+', 'w', 'g')) AS signature, count(DISTINCT source) > 1 AS cross_file
+           FROM documents GROUP BY 1 HAVING count(*) >= 2)
+SELECT signature, cross_file, row_number() OVER (ORDER BY cross_file DESC, signature) AS rank FROM g""")
+def ranked_symptoms(spark, sf):
+    found = clone_groups(spark, sf).select("signature", "cross_file")
+    return state.ranked(found, [F.col("cross_file").desc(), F.col("signature")])
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(p_brand))) AS items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT array_to_string(items, ',') AS items, len(items)::INTEGER AS n_items, count(*) AS owners, min(l_orderkey) AS first_owner
+FROM s WHERE len(items) >= 3 GROUP BY s.items HAVING count(*) >= 3""")
+def set_clumps(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return groups.exact_set_groups(rows, "l_orderkey", F.col("p_brand")).withColumn("items", F.array_join("items", ","))
+
+
+_LINES = "SELECT DISTINCT doc_id, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> ''"
+_SETS = f"""WITH f AS ({_LINES}), s AS (SELECT doc_id, list_sort(list(line)) AS items, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 4),
+c AS (SELECT items, min(doc_id) AS rep, min(n) AS n FROM s GROUP BY items)"""
+
+
+def _line_sets(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
+    return similarity.set_classes(rows, "doc_id", F.col("line"))
+
+
+@query(_SETS + """, x AS (SELECT rep, n, unnest(items) AS line FROM c)
+SELECT a.rep AS a, b.rep AS b, count(*)::INTEGER AS shared, (a.n + b.n - count(*))::INTEGER AS total,
+       floor(count(*) * 100.0 / (a.n + b.n - count(*)) + 0.5)::INTEGER AS percent
+FROM x a JOIN x b ON a.line = b.line AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+HAVING count(*) >= 4 AND count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9""")
+def near_dup_docs(spark, sf):
+    pairs, _ = similarity.jaccard_pairs(_line_sets(spark, sf))
+    return pairs.withColumn("percent", similarity.overlap_percent(F.col("shared"), F.col("total")))
+
+
+@query(_SETS + " SELECT s.doc_id AS owner, c.rep FROM s JOIN c ON s.items = c.items")
+def near_dup_members(spark, sf):
+    return similarity.jaccard_pairs(_line_sets(spark, sf))[1]
+
+
+@query("""
+SELECT c_custkey, count(o_orderkey) AS refs, CASE WHEN count(o_orderkey) = 0 THEN 'dead' ELSE 'test_only' END AS kind
+FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey
+GROUP BY 1 HAVING count(o_orderkey) = 0 OR bool_and(o_orderstatus = 'F')""")
+def unreferenced_customers(spark, sf):
+    refs = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
+    return joins.classify_references(table(spark, sf, "customer").select("c_custkey"), refs, "c_custkey", F.col("o_orderstatus") == "F")
+
+
+@query("""
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY 1, 2
+HAVING count(*) FILTER (WHERE event_type <> 'error') = 1 AND count(*) FILTER (WHERE event_type = 'error') = 0""")
+def single_production_day(spark, sf):
+    events = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return groups.sole_production(events, ["user_id", "day"], F.col("event_type") == "error")
+
+
+@query("SELECT p_brand AS key, count(*) AS sites, count(DISTINCT p_type) AS files FROM part GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT p_type) >= 2")
+def type_spread(spark, sf):
+    return groups.dispatch_spread(table(spark, sf, "part"), "p_brand", "p_type")
+
+
+@query("SELECT p_name AS name, count(DISTINCT p_brand) AS versions FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def ambiguous_part_names(spark, sf):
+    return groups.ambiguous(table(spark, sf, "part"), "p_name", "p_brand")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, sf):
+    return joins.baseline_filter(table(spark, sf, "documents").select("doc_id", "lang", "source"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("""
+SELECT doc_id, quality AS decision FROM labels
+UNION ALL SELECT doc_id, 0 AS decision FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def unlabelled_as_zero(spark, sf):
+    labels = table(spark, sf, "labels")
+    rest = joins.baseline_filter(table(spark, sf, "documents").select("doc_id"), labels, "doc_id")
+    return labels.select("doc_id", F.col("quality").alias("decision")).unionByName(rest.withColumn("decision", F.lit(0)))
+
+
+@query("SELECT doc_id, 'clones:' || sha256('clones' || text) AS symptom FROM documents")
+def symptom_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fx.content_id(F.lit("clones"), F.col("text")).alias("symptom"))
+
+
+@query("SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS hash FROM documents")
+def file_hashes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fx.file_hash(F.col("text")).alias("hash"))
+
+
+@query("""
+WITH w AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d FROM orders)
+SELECT a.o_orderkey AS l_o_orderkey, b.o_orderkey AS r_o_orderkey FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+WHERE a.d - 15 <= b.d + 15 AND b.d - 15 <= a.d + 15""")
+def order_window_overlap(spark, sf):
+    day = _days(F.col("o_orderdate"))
+    spans = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (day - 15).alias("s"), (day + 15).alias("e"))
+    return joins.interval_overlap(spans, spans, "o_custkey", "s", "e", 31).where("l_o_orderkey < r_o_orderkey").select("l_o_orderkey", "r_o_orderkey")
+
+
+@query("""
+WITH p AS (SELECT event_id, event_type AS k, date_diff('day', DATE '1970-01-01', ts::DATE) AS d FROM events),
+x AS (SELECT DISTINCT k, d FROM p), r AS (SELECT k, d AS s, d + 2 + d % 3 AS e, k || '-' || d AS name FROM x WHERE d % 4 = 0)
+SELECT p.event_id, p.k, p.d, min(struct_pack(w := r.e - r.s, name := r.name)).name AS container
+FROM p LEFT JOIN r ON p.k = r.k AND p.d BETWEEN r.s AND r.e GROUP BY 1, 2, 3""")
+def event_in_window(spark, sf):
+    points = table(spark, sf, "events").select("event_id", F.col("event_type").alias("k"), _days(F.col("ts")).cast("bigint").alias("d"))
+    ranges = points.select("k", "d").distinct().where("d % 4 = 0").select("k", F.col("d").alias("s"), (F.col("d") + 2 + F.col("d") % 3).alias("e"), F.concat("k", F.lit("-"), F.col("d").cast("string")).alias("name"))
+    return joins.smallest_container(points, ranges, "k", "d", "s", "e", 8, "name")
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text <> '')
+SELECT doc_id, i AS line_no, parts[i] AS content FROM l, LATERAL (SELECT unnest(generate_series(1, len(parts) - (CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)))::INTEGER AS i)""")
+def document_lines(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(fx.lines(F.col("text"))).alias("line_no", "content"))
+    return rows.withColumn("line_no", F.col("line_no") + 1)
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+t AS (SELECT doc_id, CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM l)
+SELECT doc_id, CASE WHEN len(parts) >= 3 THEN array_to_string(parts[2:3], chr(10)) END AS snapshot FROM t""")
+def content_snapshots(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fx.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("snapshot"))
+
+
+@query("""
+SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS approved,
+       round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0::DOUBLE / count(*), 2) AS percent, bool_and(l_linestatus = 'F') AS complete
+FROM lineitem GROUP BY 1""")
+def order_completion(spark, sf):
+    return state.approval_rollup(table(spark, sf, "lineitem"), "l_orderkey", F.col("l_linestatus") == "F")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, role FROM conversations),
+r AS (SELECT conv_id, role, min(turn) AS t FROM c GROUP BY 1, 2)
+SELECT conv_id, (SELECT string_agg(text, chr(10) ORDER BY turn, text) FROM c x WHERE x.conv_id = c.conv_id) AS note,
+       (SELECT string_agg(role, ',' ORDER BY t) FROM r WHERE r.conv_id = c.conv_id) AS authors, count(*) AS n
+FROM c GROUP BY conv_id""")
+def conversation_transcript(spark, sf):
+    return state.fold_notes(table(spark, sf, "conversations"), "conv_id", "turn", "text", "role")
+
+
+@query("SELECT conv_id, count(DISTINCT turn) AS depth FROM (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE turn = p GROUP BY 1")
+def conversation_depth(spark, sf):
+    return graphs.chain_depth(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("""
+WITH l AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, arg_max(ts, event_id) AS ts FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, event_id, value FROM l WHERE epoch(ts)::BIGINT + 864000 > (SELECT max(epoch(ts)::BIGINT) FROM events)""")
+def latest_event_value(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("when"), "value")
+    latest = state.latest_per_key(events, ["user_id", "event_type"], "event_id")
+    now = events.agg(F.max("when").alias("_now"))
+    return state.valid_at(latest.crossJoin(F.broadcast(now)), "when", F.col("_now"), 864_000).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 1000")
+def last_events(spark, sf):
+    return state.last_n(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id", 1000)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE value >= 2")
+def admitted_events(spark, sf):
+    return state.admitted(table(spark, sf, "events").select("event_id", "user_id", "value"), "value", 2.0)
+
+
+@query("""
+WITH h AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1), l AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1)
+SELECT coalesce(h.nation, l.nation) AS nation, coalesce(h.n, l.n) AS n FROM h FULL JOIN l ON h.nation = l.nation""")
+def nation_defaults(spark, sf):
+    high = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    low = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    return joins.precedence_merge(high, low, "nation", "n")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def missing_dependencies(spark, sf):
+    known = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.missing(table(spark, sf, "customer"), known, "c_custkey")
+
+
+@query("""
+SELECT n_name, 'list ' || p_type || ' for ' || n_name AS command FROM nation, (SELECT DISTINCT p_type FROM part)""")
+def template_expansion(spark, sf):
+    start = table(spark, sf, "nation").select("n_name", F.concat(F.lit("list {{ part::type }} for "), F.col("n_name")).alias("t"))
+    return expand(start, "t", {"part::type": table(spark, sf, "part").select("p_type")}).select("n_name", "command")
+
+
+@query("""
+SELECT event_id, array_to_string(regexp_extract_all(props, '"([A-Za-z_]+)":', 1), ',') AS keys FROM events""")
+def props_keys(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.array_join(F.regexp_extract_all("props", F.lit('"([A-Za-z_]+)":'), 1), ",").alias("keys"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, 'cut {{ ' || p_brand[7:] || ' }} > $OUT && echo {{p::' || p_size || '}} | sort $' || '{TMP}' AS t FROM part)
+SELECT p_partkey, array_to_string(regexp_extract_all(t, '\\{\\{ ?([A-Za-z0-9_:]+) ?\\}\\}', 1), ',') AS names, 'OUT,TMP' AS vars, 'cut,echo,sort' AS programs FROM t""")
+def template_names(spark, sf):
+    t = F.concat(F.lit("cut {{ "), F.substr("p_brand", F.lit(7)), F.lit(" }} > $OUT && echo {{p::"), F.col("p_size").cast("string"), F.lit("}} | sort ${TMP}"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(fx.placeholders(t), ",").alias("names"), F.array_join(fx.env_vars(t), ",").alias("vars"), F.array_join(fx.programs_used(t), ",").alias("programs"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)b.*l.*t')")
+def fuzzy_parts(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_name").where(fx.subsequence(F.col("p_name"), "blt"))
+
+
+@query("""
+SELECT page_id, CASE lower(list_last(string_split(url, '.'))) WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'go' THEN 'Go' WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' ELSE 'Unknown' END AS language
+FROM pages""")
+def page_languages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", fx.language_of(F.col("url")).alias("language"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 <> 3),
+n AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 300000 THEN 'F' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 7)
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.status <> n.status""")
+def status_changes(spark, sf):
+    # two snapshots of one table: each lacks some orders of the other, and large open orders close in between
+    orders = table(spark, sf, "orders")
+    old = orders.where("o_orderkey % 10 <> 3").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    closed = (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 300000)
+    new = orders.where("o_orderkey % 10 <> 7").select("o_orderkey", F.when(closed, "F").otherwise(F.col("o_orderstatus")).alias("status"))
+    return joins.version_diff(old, new, "o_orderkey", ["status"])
+
+
+@query("""
+SELECT e.event_id, e.user_id, e.ts, (SELECT x.value FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.ts <= e.ts ORDER BY x.ts DESC, x.value DESC LIMIT 1) AS last_purchase
+FROM events e WHERE e.event_type = 'error'""")
+def purchase_before_error(spark, sf):
+    events = table(spark, sf, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return joins.nearest_before(events.where("event_type = 'error'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "value", "last_purchase")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT DISTINCT r_name, 'world' FROM region UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)
+SELECT src, dst FROM c""")
+def segment_closure(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    a = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    b = region.select(F.col("r_name").alias("src"), F.lit("world").alias("dst"))
+    c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("src"), F.col("n_name").alias("dst"))
+    return graphs.closure(a.unionByName(b).unionByName(c), "src", "dst")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee FROM lineitem WHERE l_quantity >= 49),
+r AS (SELECT 'p' || l_partkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
+i AS (SELECT caller AS item FROM c UNION SELECT callee FROM c UNION SELECT item FROM r),
+a AS (SELECT callee AS item, count(*) AS callers FROM c GROUP BY 1), b AS (SELECT caller AS item, count(*) AS callees FROM c GROUP BY 1), o AS (SELECT item, count(*) AS outside_refs FROM r GROUP BY 1)
+SELECT item, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(outside_refs, 0) AS outside_refs,
+       coalesce(callers, 0) + coalesce(callees, 0) + coalesce(outside_refs, 0) AS total
+FROM i LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN o USING (item)""")
+def part_blast_radius(spark, sf):
+    big = table(spark, sf, "lineitem").where("l_quantity >= 49")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    calls = big.select(name("s", "l_suppkey").alias("caller"), name("p", "l_partkey").alias("callee"))
+    refs = big.where("l_returnflag = 'R'").select(name("p", "l_partkey").alias("item"), F.lit("returns").alias("path"), F.lit("parts").alias("home"))
+    return graphs.blast_radius(calls, refs, "item")
+
+
+@query()
+def turn_diff(spark, sf):
+    """Line diff of every turn of a conversation against the one before it."""
+    w = W.partitionBy("conv_id").orderBy("turn", "text")
+    pairs = table(spark, sf, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+    return linediff.diff_stats(pairs, "old", "new").select("conv_id", "turn", "kept", "deleted", "added", "modified")
