@@ -89,9 +89,12 @@ def word_codes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, li
     words = coded.dictionary.to_pylist()
     offsets = offsets - offsets[0]
     if b"" in words:  # leading or trailing white space leaves empty parts
-        keep = codes != words.index(b"")
+        empty = words.index(b"")
+        keep = codes != empty
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
+        codes[codes > empty] -= 1
+        del words[empty]
     return codes, offsets, words
 
 

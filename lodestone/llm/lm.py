@@ -172,7 +172,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         lowest = r["s"]
     is_common = F.lit(False) if lowest is None else step >= lowest
-    common = counts.where(is_common).toPandas().sort_values(["n", "hash"], ascending=[False, True])
+    common = counts.where(is_common).unionByName(counts.orderBy(F.col("n").desc(), "hash").limit(OWN_UNITS)).distinct()
+    common = common.toPandas().sort_values(["n", "hash"], ascending=[False, True])
     c_hash, c_n = common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     own_n = min(OWN_UNITS, len(c_hash))
     unit_of_common = common["unit"].to_numpy(np.int64).copy()

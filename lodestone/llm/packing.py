@@ -3,8 +3,8 @@
 A document's ids, with an end id, are cut only if longer than a sequence. Pieces are dealt
 to shards of bounded size by a hash; within a shard each piece, longest first, goes where
 the sum over residual gaps of the squared count of open bins with that gap becomes
-smallest, a new bin included. One last round packs the barely filled bins of all shards
-again, so that few sequences are left part-empty however many shards there are.
+smallest, a new bin included. A shard holds tens of thousands of pieces, so what its last
+open bins leave empty is small beside them, however many shards there are.
 """
 
 from __future__ import annotations
@@ -31,11 +31,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins = np.empty(len(lengths), np.int64)
     offsets = np.empty(len(lengths), np.int64)
     fill: list[int] = []
-    grown = np.zeros(capacity + 1, np.int64)  # cost of one more bin at a gap
     for i, size in enumerate(lengths.tolist()):
         gaps = np.flatnonzero(count[size:]) + size
-        grown_at = np.where(gaps > size, 2 * count[gaps - size] + 1, 0)
-        change = grown_at - 2 * count[gaps] + 1
+        change = np.where(gaps > size, 2 * count[gaps - size] + 1, 0) - 2 * count[gaps] + 1
         fresh = 2 * count[capacity - size] + 1 if size < capacity else 0
         k = int(np.argmin(change)) if len(gaps) else -1
         if k >= 0 and change[k] <= fresh:
@@ -50,7 +48,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if gap > size:
             open_bins[gap - size].append(b)
             count[gap - size] += 1
-    del grown
     return bins, offsets, np.asarray(fill, np.int64)
 
 
