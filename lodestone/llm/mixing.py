@@ -45,8 +45,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "
         table = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]) if weights else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0))
     counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("source", "n", F.coalesce(F.try_divide(F.col("weight") * F.col("all_n") * F.lit(epochs), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))
+    total = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).first()  # two numbers
+    scale = F.lit(float(epochs) * (total["n"] or 0))
+    return counts.select("source", "n", F.coalesce(F.try_divide(F.col("weight") * scale, F.lit(float(total["w"] or 0.0)) * F.col("n")), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", seed: int = 42, epochs: float = 1.0, temper: float = 0.5) -> DataFrame:
