@@ -65,7 +65,7 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c <= col)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each slice's text stays near max_bytes; one longer text makes a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 700_000
+CACHED_PIECES = 350_000
 
 _SOLID = np.zeros(256, bool)  # bytes that start a character which is surely no white space
 _SOLID[0x21:0x7F] = True
