@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_path, id_bounds, partitions, range_of, slices
+from lodestone.llm.common import fresh_path, id_bounds, lean, partitions, range_of, slices
 from lodestone.llm.tokens import encoder, with_end
 
 KEYS_PER_BUCKET = 4
@@ -127,6 +127,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     ranged = picked.select(range_of(F.col("doc_id"), bounds).alias("pid"), "doc_id", "text")
     dealt = ranged.repartition(len(bounds) + 1, "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), *((c, pa.int64()) for c in ("before", "n_docs", "n_ids")), ("width", pa.int32()), *((c, pa.binary()) for c in ("payload", "seeds", "fingerprints", "offsets", "lengths", "keys"))])
         at = {"pid": None, "seq": 0, "before": 0}
@@ -178,6 +179,7 @@ def read_store(spark, path: str) -> DataFrame:
         earlier[pid] = upto
         upto += n
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lodestone.llm.common import materialize, slices, word_codes
+from lodestone.llm.common import lean, materialize, slices, word_codes
 from lodestone.llm.quality import crc_fold
 
 OWN_UNITS = 767
@@ -62,6 +62,7 @@ def _with_ends(codes: np.ndarray, first: np.ndarray, end_code: int) -> tuple[np.
 def word_counts(texts: DataFrame) -> DataFrame:
     """(hash, unit, n): occurrences of every word in all texts, summed up by each task before the shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -96,6 +97,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def pair_counts(texts: DataFrame, own: np.ndarray, unit_of_own: np.ndarray) -> DataFrame:
     """(cell, n): how often unit cell % UNITS follows unit cell // UNITS. At most UNITS squared rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(UNITS * UNITS, np.int64)
         for batch in slices(batches, "text"):
@@ -201,6 +203,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base_floor = n_train + vocabulary + 1
     sent = spark.sparkContext.broadcast((c_hash, c_n, unit_of_common, own, unit_of_own, table))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c_hash, c_n, unit_of_common, own, unit_of_own, table = sent.value
         flat = table.ravel()

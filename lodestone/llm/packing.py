@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import lean, slices
 from lodestone.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
@@ -54,6 +54,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by: str = "words") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's whole text as ids plus end_id, cut into pieces of capacity."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, first = with_end(*encoder(tokenizer_path, by).encode(batch.column("text")), end_id)

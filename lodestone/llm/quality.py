@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, word_codes
+from lodestone.llm.common import lean, slices, word_codes
 
 PASSAGE_WORDS = 64
 HASH_DIMS = 16
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     # the sample has at most max_docs rows of two numbers, which bounds the broadcast
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id").select(F.xxhash64("_id").alias("k"), F.col("_id").cast("bigint"), "_y", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, first = passages(batch.column("text"))
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id",
     keep = [id_col] if keep is None else keep
     params = None if model is None else model.p
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(keep) if text_at is None else text_at
         for batch in slices(batches, at):

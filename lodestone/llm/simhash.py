@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import Sets, materialize, partitions
+from lodestone.llm.common import Sets, lean, materialize, partitions
 from lodestone.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -70,6 +70,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row's whole text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, shingle_words) for t in map(pa.StringScalar.as_py, batch.column(1))), np.uint64, batch.num_rows)
@@ -166,6 +167,7 @@ def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int) -> Da
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, own) * F.col("chunks") + F.greatest(o, own))
     parts = keys.join(big, ["t", "key"], "left").select("t", "key", "rep", *prints, F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -245,11 +247,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chosen = [np.sort(rng.permutation(64 * WIDE_WORDS)[:key_bits]) for _ in range(tables)]
     prints = [f"f{k}" for k in range(WIDE_WORDS)]
 
+    @lean
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([wide_fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], np.uint64).reshape(-1, WIDE_WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(WIDE_WORDS))], ["id", *prints])
 
+    @lean
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lodestone.llm.common import materialize, slices, word_codes
+from lodestone.llm.common import lean, materialize, slices, word_codes
 
 WINDOW = 50
 BATCH_BYTES = 4 << 20
@@ -114,6 +114,7 @@ def _deltas(h: np.ndarray) -> np.ndarray:
 def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """(batch_id, blob): documents of one input partition, a few MB of text at a time; columns id, text, c0, c1, ... for carry."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BATCH_BYTES):
