@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -67,7 +69,13 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c <= col)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with its session told to send record batches of at most BATCH_BYTES: by default they are bounded by rows alone."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each slice's text stays near max_bytes; one longer text makes a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_path, id_bounds, lean, partitions, range_of, slices
+from lodestone.llm.common import bounded, fresh_path, id_bounds, lean, partitions, range_of, slices
 from lodestone.llm.tokens import encoder, with_end
 
 KEYS_PER_BUCKET = 4
@@ -163,7 +163,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
         if held:
             yield out()
 
-    dealt.mapInArrow(run, STORE).write.option("compression", "zstd").parquet(path)
+    bounded(dealt).mapInArrow(run, STORE).write.option("compression", "zstd").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:

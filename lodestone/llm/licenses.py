@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bounded
+
 #: Lower-cases A-Z and turns every ASCII byte that no word holds into a blank.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -248,7 +250,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, n_words bigint, base array<struct<word:bigint,label:string>>, found array<struct<word:bigint,end:bigint,label:string>>")
+    return bounded(picked).mapInArrow(run, "doc_id bigint, n_words bigint, base array<struct<word:bigint,label:string>>, found array<struct<word:bigint,end:bigint,label:string>>")
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:

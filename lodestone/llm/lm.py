@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lodestone.llm.common import lean, materialize, slices, word_codes
+from lodestone.llm.common import bounded, lean, materialize, slices, word_codes
 from lodestone.llm.quality import crc_fold
 
 OWN_UNITS = 767
@@ -91,7 +91,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "hash bigint, unit int, n bigint").groupBy("hash", "unit").agg(F.sum("n").alias("n"))
+    return bounded(texts.select("text")).mapInArrow(run, "hash bigint, unit int, n bigint").groupBy("hash", "unit").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(texts: DataFrame, own: np.ndarray, unit_of_own: np.ndarray) -> DataFrame:
@@ -112,7 +112,7 @@ def pair_counts(texts: DataFrame, own: np.ndarray, unit_of_own: np.ndarray) -> D
             part = cells[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
 
-    return texts.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return bounded(texts.select("text")).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def train_nce(pairs: np.ndarray, dims: int = DIMS, noise: float = NOISE, steps: int = 120, rate: float = 0.05, seed: int = 42) -> dict[str, np.ndarray]:
@@ -240,7 +240,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     schema = "doc_id bigint, n_tokens bigint, known bigint, base double, model double, hash array<bigint>, times array<int>, unit array<int>"
-    marked = picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    marked = bounded(picked).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     marked = materialize(marked, "marked")
     rare = marked.select("row", F.explode(F.arrays_zip("hash", "times", "unit")).alias("w")).select("row", "w.hash", "w.times", "w.unit")
     found = rare.join(counts.where(~is_common).select("hash", "n"), "hash", "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, slices
+from lodestone.llm.common import bounded, lean, slices
 from lodestone.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bounded(picked).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:

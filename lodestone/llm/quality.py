@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, slices, word_codes
+from lodestone.llm.common import bounded, lean, slices, word_codes
 
 PASSAGE_WORDS = 64
 HASH_DIMS = 16
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("_id"), batch.column("_y"), pa.array(bags, pa.binary())], ["k", "_id", "_y", "x"])
 
-    rows = sorted(chosen.mapInArrow(run, "k bigint, _id bigint, _y int, x binary").collect(), key=lambda r: (r["k"], r["_id"], bytes(r["x"])))
+    rows = sorted(bounded(chosen).mapInArrow(run, "k bigint, _id bigint, _y int, x binary").collect(), key=lambda r: (r["k"], r["_id"], bytes(r["x"])))
     if not rows:
         return None
     bags = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in rows]
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id",
     text_at = keep.index(text_col) if text_col in keep and dict(kept.dtypes)[text_col] == "string" else None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", quality_score double"
     sent = kept if text_at is not None else docs.select(*keep, F.col(text_col).cast("string").alias("_score_text"))
-    return sent.mapInArrow(run, schema)
+    return bounded(sent).mapInArrow(run, schema)
 
 
 def crc_fold(col, modulus: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import Sets, lean, materialize, partitions
+from lodestone.llm.common import Sets, bounded, lean, materialize, partitions
 from lodestone.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -76,7 +76,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, shingle_words) for t in map(pa.StringScalar.as_py, batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return bounded(picked).mapInArrow(run, "id bigint, fp bigint")
 
 
 def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int, chunk: int = 1 << 18) -> Sets:
@@ -267,7 +268,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     wide = ", ".join(f"{c} bigint" for c in prints)
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = materialize(picked.mapInArrow(mark, f"id bigint, {wide}"), "wide-fingerprints")
+    marked = materialize(bounded(picked).mapInArrow(mark, f"id bigint, {wide}"), "wide-fingerprints")
     classes = materialize(marked.groupBy(*prints).agg(F.min("id").alias("rep")), "wide-classes")
     keys = classes.mapInArrow(key, f"t int, key bigint, rep bigint, {wide}")
     nodes = connected_components(_compared(keys, WIDE_WORDS, radius, max_bucket))

@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lodestone.llm.common import lean, materialize, slices, word_codes
+from lodestone.llm.common import BATCH_BYTES, bounded, lean, materialize, slices, word_codes
 
 WINDOW = 50
-BATCH_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -123,7 +122,7 @@ def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Da
             seq += 1
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
-    return materialize(picked.mapInArrow(run, "batch_id bigint, blob binary"), "batches")
+    return materialize(bounded(picked).mapInArrow(run, "batch_id bigint, blob binary"), "batches")
 
 
 def _probe(batches: DataFrame, block: int, ranges: int) -> DataFrame:
