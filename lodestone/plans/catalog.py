@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.functions.templates import expand
-from lodestone.operators import graphs, groups, joins, linediff, similarity, state
+from lodestone.operators import graphs, groups, joins, linediff, review, similarity, state
 from lodestone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,3 +322,93 @@ def turn_diff(spark, sf):
     w = W.partitionBy("conv_id").orderBy("turn", "text")
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
     return linediff.diff_stats(pairs, "old", "new").select("conv_id", "turn", "kept", "deleted", "added", "modified")
+
+
+_REVIEW = """WITH chunks AS (SELECT p_partkey AS chunk, p_brand AS file, p_size::BIGINT AS s, p_size::BIGINT + 2 AS e FROM part),
+impacts AS (SELECT s_suppkey + 1 AS decision, 'Brand#' || (s_suppkey % 25 + 1) AS file, s_suppkey % 40 AS s, s_suppkey % 40 + 6 AS e FROM supplier),
+met AS (SELECT DISTINCT chunk, decision FROM chunks c JOIN impacts i USING (file) WHERE c.s <= i.e AND i.s <= c.e),
+idx AS (SELECT * FROM met UNION ALL SELECT chunk, 0 FROM chunks WHERE chunk NOT IN (SELECT chunk FROM met)),
+ev AS (SELECT event_id AS seq, event_type AS t, event_id * 7 % 2000 AS chunk, user_id % 100 + 1 AS decision, 'Brand#' || (user_id % 25 + 1) AS file, 'u' || user_id AS who FROM events),
+touch AS (SELECT chunk, seq, t = 'view' AS approved, TRUE AS own, who FROM ev WHERE t IN ('view', 'purchase') AND chunk IN (SELECT chunk FROM chunks)
+  UNION ALL SELECT i.chunk, seq, t = 'signup', FALSE, who FROM ev JOIN idx i USING (decision) WHERE t IN ('signup', 'error')
+  UNION ALL SELECT c.chunk, seq, TRUE, FALSE, who FROM ev JOIN chunks c USING (file) WHERE t = 'click')
+"""
+
+
+def _review(spark, sf):
+    """Parts as chunks of their brand's file, suppliers as decisions, events as the log of a review."""
+    number = lambda c: F.col(c).cast("bigint")
+    chunks = table(spark, sf, "part").select(number("p_partkey").alias("chunk"), F.col("p_brand").alias("file"), number("p_size").alias("start"), (number("p_size") + 2).alias("end"))
+    at = F.col("s_suppkey") % 40
+    impacts = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1).alias("decision"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("file"), at.alias("start"), (at + 6).alias("end"))
+    actions = {"view": "approve", "purchase": "reject", "signup": "approve_decision", "error": "reject_decision", "click": "approve_file"}
+    action = F.element_at(F.create_map(*[F.lit(x) for pair in actions.items() for x in pair]), F.col("event_type"))
+    user = F.col("user_id")
+    events = table(spark, sf, "events").select(F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") * 7 % 2000).alias("chunk"), (user % 100 + 1).alias("decision"), F.concat(F.lit("Brand#"), user % 25 + 1).alias("file"), F.concat(F.lit("u"), user).alias("by"))
+    return chunks, impacts, events, review.decision_index(chunks, impacts)
+
+
+@query(_REVIEW + "SELECT chunk, decision FROM idx")
+def decision_index(spark, sf):
+    return _review(spark, sf)[3]
+
+
+@query(_REVIEW + 'SELECT chunk, arg_max(who, seq) AS "by" FROM touch GROUP BY chunk HAVING arg_max(approved, seq)')
+def approved_chunks(spark, sf):
+    chunks, _, events, index = _review(spark, sf)
+    return review.approvals(chunks, index, events)[0]
+
+
+@query(_REVIEW + """, need AS (SELECT DISTINCT i.decision, t.seq, t.who FROM touch t JOIN idx i USING (chunk) WHERE own AND approved),
+pairs AS (SELECT n.decision, n.seq, n.who, i.chunk FROM need n JOIN idx i USING (decision)),
+whole AS (SELECT p.decision, p.seq, p.who FROM pairs p ASOF LEFT JOIN touch a ON a.chunk = p.chunk AND p.seq >= a.seq
+          GROUP BY ALL HAVING bool_and(coalesce(a.approved, FALSE))),
+off AS (SELECT decision, max(seq) AS gone FROM (SELECT i.decision, t.seq FROM touch t JOIN idx i USING (chunk) WHERE own AND NOT approved
+        UNION ALL SELECT decision, seq FROM ev WHERE t = 'error') GROUP BY 1),
+marks AS (SELECT decision, seq, who, 1 AS direct FROM ev WHERE t = 'signup' UNION ALL SELECT decision, seq, who, 0 FROM whole)
+SELECT decision, coalesce(arg_max(who, seq) FILTER (direct = 1), arg_min(who, seq)) AS "by" FROM marks LEFT JOIN off USING (decision)
+WHERE gone IS NULL OR seq > gone GROUP BY decision""")
+def approved_decisions(spark, sf):
+    chunks, _, events, index = _review(spark, sf)
+    return review.approvals(chunks, index, events)[1]
+
+
+@query(_REVIEW + """, firsts AS (SELECT chunk, count(*) FILTER (approved) > 0 AS noted FROM touch WHERE own GROUP BY chunk),
+done AS (SELECT chunk FROM touch GROUP BY chunk HAVING arg_max(approved, seq))
+SELECT count(*) AS total, count(d.chunk) AS approved, round(count(d.chunk) * 100.0::DOUBLE / count(*), 2) AS percent, count(*) FILTER (noted) AS with_notes
+FROM chunks c LEFT JOIN done d USING (chunk) LEFT JOIN firsts USING (chunk)""")
+def review_statistics(spark, sf):
+    chunks, _, events, index = _review(spark, sf)
+    return review.review_statistics(chunks, review.approvals(chunks, index, events)[0], events.where("action = 'approve'"))
+
+
+@query(_REVIEW + """SELECT decision, file, CASE WHEN chunk IS NOT NULL THEN row_number() OVER (PARTITION BY decision, file ORDER BY s, e, chunk) END::INTEGER AS position, chunk
+FROM (SELECT decision FROM impacts UNION SELECT decision FROM idx) LEFT JOIN (SELECT * FROM idx JOIN chunks USING (chunk)) USING (decision)""")
+def drill_index(spark, sf):
+    chunks, impacts, _, index = _review(spark, sf)
+    return review.drill_index(impacts, index, chunks)
+
+
+@query("""
+WITH ev AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'signup' THEN 'edit' ELSE 'add' END AS action,
+            event_type || event_id AS content, event_type AS author, ts::VARCHAR AS timestamp FROM events),
+g AS (SELECT k, max(seq) FILTER (action = 'remove') AS gone, max(seq) FILTER (action = 'edit') AS edited FROM ev GROUP BY k),
+live AS (SELECT * FROM ev JOIN g USING (k) WHERE action <> 'remove' AND (gone IS NULL OR seq > gone)),
+firsts AS (SELECT k, author, min(seq) AS began FROM live GROUP BY 1, 2),
+who AS (SELECT k, string_agg(author, ', ' ORDER BY began) AS authors FROM firsts GROUP BY k)
+SELECT k, string_agg(content, chr(10) ORDER BY seq) FILTER (edited IS NULL OR seq >= edited) AS content, any_value(authors) AS authors, max(seq) AS last_seq
+FROM live JOIN who USING (k) GROUP BY k""")
+def folded_instructions(spark, sf):
+    action = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "edit").otherwise("add")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), action.alias("action"), F.concat("event_type", "event_id").alias("content"), F.col("event_type").alias("author"), F.col("event_id").alias("timestamp"))
+    return review.fold_instructions(events, "k").withColumnRenamed("timestamp", "last_seq")
+
+
+@query("""
+WITH inc AS (SELECT event_id AS seq, user_id AS k, CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS content FROM events),
+firsts AS (SELECT k, min(seq) AS f FROM inc WHERE content <> '' AND k NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 40) GROUP BY k)
+SELECT seq, k, content, CASE WHEN content = '' THEN 'empty' WHEN f = seq THEN 'imported' ELSE 'duplicate' END AS outcome FROM inc LEFT JOIN firsts USING (k)""")
+def imported_instructions(spark, sf):
+    incoming = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("content"))
+    existing = table(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("k"))
+    return review.import_outcomes(incoming, existing, ["k"], "seq", "content")
