@@ -133,6 +133,40 @@ def test_similar_documents_catch_near_copies_and_leave_the_rest(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2 * k for k in range(30)] + [900, None], key=str)
 
 
+def test_similar_documents_are_exactly_those_alike_at_the_likeness(spark, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in [8, 9, 12, 16, 20, 24, 30, 34, 36, 40, 80, 300] * 8:
+        w = [word() for _ in range(n)]
+        texts.append(w)
+        for _ in range(3):  # copies around the likeness: some words more at the end, one word changed every so often
+            copy = w + [word() for _ in range(rnd.randrange(n // 3 + 1))]
+            if rnd.random() < 0.5 and n > 30:
+                for at in range(rnd.randrange(20), n, 30 + rnd.randrange(20)):
+                    copy[at] = word()
+            texts.append(copy)
+    base = [word() for _ in range(100)]
+    texts += [base[:k] + [word() for _ in range(100 - k)] for k in (70, 75, 80, 85, 88, 90, 92, 95) for _ in range(12)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    edges = [(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) / len(sets[i] | sets[k]) >= 0.8]
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(root)
+        for i, k in edges:
+            root[i] = root[k] = min(root[i], root[k])
+        if root == before:
+            break
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    for small in (32, 2):  # the second verifies most candidates in the second round
+        monkeypatch.setattr(simhash, "SMALL_SET", small, raising=False)
+        got = {r["id"]: r["component"] for r in simhash.similar_documents(docs).collect()}
+        wrong = [i for i in got if got[i] != root[i]]
+        assert len(got) == len(texts) and wrong == []
+    few = spark.createDataFrame([(0, "a b c d e f g h"), (1, "a b c d e f g i"), (2, "a b c d e f g h"), (3, ""), (4, None)], "doc_id bigint, text string")
+    assert {tuple(r) for r in simhash.similar_documents(few).collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 3)}
+
+
 def winnowed(text, k=5, w=8):
     rot = lambda h, b: ((h << b) | (h >> (64 - b))) & (1 << 64) - 1
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
