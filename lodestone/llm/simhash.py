@@ -392,16 +392,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _alike(docs, id_col, text_col, similarity, shingle_words, key_bits, tables, max_bucket).select("id", F.col("least.id").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with the document of the smallest id of each component of similar_documents(), all columns kept.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int = 16, tables: int = 96, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """docs with one row of each component of similar_documents(), one of the smallest id, all columns kept.
 
-    Rows with a null id stay, as nothing can be told apart by it. Of rows that repeat an id one stays.
+    Rows with a null id stay, as nothing can be told apart by it. Rows are told apart by id and text: where an id stands
+    in rows of different texts, each text is judged by itself.
     """
-    found = materialize(similar_documents(docs, id_col, text_col, **how), "similar")
-    stay = found.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
     names = docs.columns
-    stay = stay.where("id = component")
-    kept = docs.join(stay.select(F.col("id").alias("_stay")), docs[id_col].cast("bigint") == F.col("_stay"), "left_semi").select(*names)
+    found = materialize(_alike(docs, id_col, text_col, similarity, shingle_words, key_bits, tables, max_bucket), "similar")
+    stay = found.where(F.struct("id", "x") == F.col("least")).groupBy("id", "x").agg(F.count(F.lit(1)).alias("n"))
+    chosen = stay.select(F.col("id").alias("_stay"), F.col("x").alias("_stay_x"))
+    marked = docs.withColumn("_x", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(chosen, (marked[id_col].cast("bigint") == F.col("_stay")) & (F.col("_x") == F.col("_stay_x")), "left_semi")
     if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()).select(*names))
+        kept = kept.dropDuplicates([id_col, "_x"])
+    return kept.select(*names).unionByName(docs.where(F.col(id_col).isNull()).select(*names))

@@ -167,6 +167,13 @@ def test_similar_documents_are_exactly_those_alike_at_the_likeness(spark, monkey
     assert {tuple(r) for r in simhash.similar_documents(few).collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 3)}
 
 
+def test_dropping_near_duplicates_judges_rows_that_repeat_an_id_by_their_texts(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, b), (2, c), (3, b), (4, a), (5, c), (5, "alone"), (6, "twice"), (6, "twice")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, a), (1, b), (2, c), (5, "alone"), (6, "twice")]
+
+
 def winnowed(text, k=5, w=8):
     rot = lambda h, b: ((h << b) | (h >> (64 - b))) & (1 << 64) - 1
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
