@@ -300,6 +300,14 @@ def segment_closure(spark, sf):
     return graphs.closure(a.unionByName(b).unionByName(c), "src", "dst")
 
 
+def _blast_radius(lines):
+    """Suppliers call the parts of their lines; a returned line refers to its part from outside."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    calls = lines.select(name("s", "l_suppkey").alias("caller"), name("p", "l_partkey").alias("callee"))
+    refs = lines.where("l_returnflag = 'R'").select(name("p", "l_partkey").alias("item"), F.lit("returns").alias("path"), F.lit("parts").alias("home"))
+    return graphs.blast_radius(calls, refs, "item")
+
+
 @query("""
 WITH c AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee FROM lineitem WHERE l_quantity >= 49),
 r AS (SELECT 'p' || l_partkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
@@ -309,11 +317,20 @@ SELECT item, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, c
        coalesce(callers, 0) + coalesce(callees, 0) + coalesce(outside_refs, 0) AS total
 FROM i LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN o USING (item)""")
 def part_blast_radius(spark, sf):
-    big = table(spark, sf, "lineitem").where("l_quantity >= 49")
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    calls = big.select(name("s", "l_suppkey").alias("caller"), name("p", "l_partkey").alias("callee"))
-    refs = big.where("l_returnflag = 'R'").select(name("p", "l_partkey").alias("item"), F.lit("returns").alias("path"), F.lit("parts").alias("home"))
-    return graphs.blast_radius(calls, refs, "item")
+    return _blast_radius(table(spark, sf, "lineitem").where("l_quantity >= 49"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee FROM lineitem),
+r AS (SELECT 'p' || l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
+i AS (SELECT caller AS item FROM c UNION SELECT callee FROM c UNION SELECT item FROM r),
+a AS (SELECT callee AS item, count(*) AS callers FROM c GROUP BY 1), b AS (SELECT caller AS item, count(*) AS callees FROM c GROUP BY 1), o AS (SELECT item, count(*) AS outside_refs FROM r GROUP BY 1)
+SELECT item, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(outside_refs, 0) AS outside_refs,
+       coalesce(callers, 0) + coalesce(callees, 0) + coalesce(outside_refs, 0) AS total
+FROM i LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN o USING (item)""")
+def item_blast_radius(spark, sf):
+    """Callers, callees and returns of every supplier and part of the whole table."""
+    return _blast_radius(table(spark, sf, "lineitem"))
 
 
 @query()
