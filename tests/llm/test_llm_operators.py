@@ -542,3 +542,16 @@ def test_id_ranges(spark):
     assert bounds == sorted(set(bounds)) and len(bounds) <= 7
     got = {r["i"]: r["p"] for r in df.select("i", common.range_of(F.col("i"), bounds).alias("p")).collect()}
     assert got[None] == 0 and all(got[i] == sum(b <= i for b in bounds) for i in range(100))
+
+
+def test_hnsw_audit_sees_ordinary_queries_beside_a_hot_group_and_ends_exact():
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=16) + 0.02 * rng.normal(size=(500, 16))
+    pairs = rng.normal(size=(100, 16))
+    x = hnsw._unit(np.concatenate([hot, pairs, pairs + 0.02 * rng.normal(size=(100, 16))]))
+    graph = hnsw.Graph.build(x.astype(np.float32))
+    cut = np.arange(500, len(x))  # no walk enters or leaves these rows
+    graph.links[0][np.isin(graph.links[0], cut)] = -1
+    graph.links[0][cut] = -1
+    got = hnsw.audited_links(graph, x, x, 0.9)
+    assert set(zip(*(v.tolist() for v in got))) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
