@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import json
+import math
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,31 +25,59 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset a local master gets a folder of its own; a cluster is an error,
+    as a folder of one machine would lose data with it."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = set_dir.get() if set_dir.isDefined() else None
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
 
 
+_WRITTEN = threading.local()  # paths of intermediate tables that stand, oldest first, by thread
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
+    """A new path in the shared folder, deleted by free() or else when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    _WRITTEN.__dict__.setdefault("paths", []).append(path)
     return path
 
 
+def standing() -> int:
+    """How many intermediate tables of this thread stand: a mark for free()."""
+    return len(_WRITTEN.__dict__.setdefault("paths", []))
+
+
+def free(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete this thread's intermediate tables written after the mark, but for those that keep's materialized tables are read from.
+
+    To be called once nothing lazy reads them any more, as when the table made of them has been written.
+    """
+    stay = {df._written_at for df in keep}
+    paths = _WRITTEN.__dict__.setdefault("paths", [])
+    for path in paths[since:]:
+        if path not in stay:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    paths[since:] = [p for p in paths[since:] if p in stay]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: computed once, lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
 
 
 def partitions(spark: SparkSession) -> int:
@@ -61,17 +92,31 @@ def id_bounds(df: DataFrame, col: str, n: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
+def literal_longs(values: list[int | None]) -> Column:
+    """A constant array<bigint>. It is one string in the plan, folded once, so thousands of values don't deepen the plan."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def range_of(col: Column, bounds: list[int]) -> Column:
-    """Number of cut points at or below the id: its range, 0 for null ids. A bounded array literal, searched JVM-side."""
+    """Number of cut points at or below the id: its range, 0 for null ids. A search in two levels, JVM-side: about 2 sqrt(n) steps an id."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
-    return F.when(col.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c <= col)))
+    step = math.isqrt(len(bounds)) + 1
+    cuts, heads = literal_longs(bounds), literal_longs(bounds[::step])
+    block = F.size(F.filter(heads, lambda c: c <= col))  # heads of blocks at or below the id; the last of them may end inside its block
+    inside = F.size(F.filter(F.slice(cuts, F.greatest((block - 1) * step + 1, F.lit(1)), F.lit(step)), lambda c: c <= col))
+    return F.when(col.isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * step + inside)
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, with its session told to send record batches of at most BATCH_BYTES: by default they are bounded by rows alone."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """df, with record batches to Python of at most BATCH_BYTES: by default they are bounded by rows alone.
+
+    The bound is a setting of the session that is read when a plan runs. A session that already holds a bound up to that keeps its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name, None)
+    if not (now and now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 
 

@@ -3,10 +3,10 @@
 The words of a text (lower-cased, split at ASCII white space) give rolling hashes of K
 consecutive words: a cyclic polynomial, built by doubling from the words' XXH64. Of every
 WINDOW consecutive hashes the smallest is kept, the rightmost one on ties, so any run of
-K + WINDOW - 1 words that two texts share gives them a hash in common. A hash and its
-position travel in one long, hash above, distance from the largest position below: the
-plain minimum is then the rightmost smallest hash. Window minima come by doubling too, so
-a text costs a fixed number of passes over its words whatever K and WINDOW are.
+K + WINDOW - 1 words that two texts share gives them a hash in common. What is carried from
+window to window is the position of the smallest hash, so hashes keep all their 64 bits and
+any position fits. Window minima come by doubling too, so a text costs a fixed number of
+passes over its words whatever K and WINDOW are.
 """
 
 from __future__ import annotations
@@ -14,25 +14,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_bounds, partitions, range_of
+from lodestone.llm.common import id_bounds, literal_longs, partitions, range_of
 
 K = 5
 WINDOW = 8
-POSITION_BITS = 27
-LAST = (1 << POSITION_BITS) - 1
 
 
 def _rotated(h: Column, by: int) -> Column:
     return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by % 64 else h
 
 
-def _with_joined(df: DataFrame, to: str, left: str, right: str, ahead: int, f) -> DataFrame:
+def _with_joined(df: DataFrame, to: str, left: str, right: str, ahead: int, f, kind: str) -> DataFrame:
     """to[i] = f(left[i], right[i + ahead]) for all i where both are. Each step is a projection of its own, so nothing is worked out twice."""
     n = F.least(F.size(left), F.size(right) - ahead)
-    return df.withColumn(to, F.when(n > 0, F.zip_with(F.slice(left, F.lit(1), F.greatest(n, F.lit(0))), F.slice(right, F.lit(1 + ahead), F.greatest(n, F.lit(0))), f)).otherwise(F.array().cast("array<bigint>")))
+    return df.withColumn(to, F.when(n > 0, F.zip_with(F.slice(left, F.lit(1), F.greatest(n, F.lit(0))), F.slice(right, F.lit(1 + ahead), F.greatest(n, F.lit(0))), f)).otherwise(F.array().cast(f"array<{kind}>")))
 
 
-def _with_folded(df: DataFrame, to: str, source: str, length: int, f) -> DataFrame:
+def _with_folded(df: DataFrame, to: str, source: str, length: int, f, kind: str = "bigint") -> DataFrame:
     """to[i] = source[i..i + length - 1] combined by f(left, right, words on the right), by doubling."""
 
     def of(n: int):
@@ -40,43 +38,40 @@ def _with_folded(df: DataFrame, to: str, source: str, length: int, f) -> DataFra
 
     width, at = 1, source
     for bit in bin(length)[3:]:
-        df = _with_joined(df, to + "_w", at, at, width, of(width))
+        df = _with_joined(df, to + "_w", at, at, width, of(width), kind)
         width, at = 2 * width, to
         df = df.withColumn(to, F.col(to + "_w")).drop(to + "_w")
         if bit == "1":
-            df = _with_joined(df, to + "_w", to, source, width, of(1))
+            df = _with_joined(df, to + "_w", to, source, width, of(1), kind)
             df = df.withColumn(to, F.col(to + "_w")).drop(to + "_w")
             width += 1
     return df if at == to else df.withColumn(to, F.col(source))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """df with to: array<bigint> of the kept hashes, each with its position, in order of position.
+    """df with to: struct<hash: array<bigint>, position: array<int>> of the kept grams in order of position, first word from 0.
 
-    A text of fewer words than k is one gram, its whole sequence; one without words, null included, gives an empty array.
-    With fewer grams than window, the smallest of them is kept.
+    A text of fewer words than k is one gram, its whole sequence; one without words, null included, gives empty arrays.
+    With fewer grams than window, the smallest of them is kept. Of equal hashes in a window the rightmost is.
     """
-    w, h, g, m = (f"_{to}_{x}" for x in "whgm")
+    w, h, g, i, m = (f"_{to}_{x}" for x in "whgim")
     trimmed = F.btrim(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
     df = df.withColumn(w, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")))
     df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))).drop(w)
     df = _with_folded(df, g, h, k, lambda a, b, n: _rotated(a, n).bitwiseXOR(b))
     short = F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: _rotated(acc, 1).bitwiseXOR(x))
-    grams = F.when(F.size(h) >= k, F.col(g)).when(F.size(h) > 0, F.array(short)).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(g, F.transform(grams, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, POSITION_BITS + 1), POSITION_BITS).bitwiseOR((F.lit(LAST) - i).cast("bigint"))))
-    df = df.drop(h)
-    df = _with_folded(df, m, g, window, lambda a, b, n: F.least(a, b))
-    return df.withColumn(to, F.when(F.size(g) >= window, F.array_distinct(m)).when(F.size(g) > 0, F.array(F.array_min(g))).otherwise(F.array().cast("array<bigint>"))).drop(g, m)
+    df = df.withColumn(g, F.when(F.size(h) >= k, F.col(g)).when(F.size(h) > 0, F.array(short)).otherwise(F.array().cast("array<bigint>"))).drop(h)
+    df = df.withColumn(i, F.transform(g, lambda _, at: at))
+    later = lambda a, b, n: F.when(F.get(F.col(g), b) <= F.get(F.col(g), a), b).otherwise(a)
+    df = _with_folded(df, m, i, window, later, "int")
+    least = F.size(g) - F.array_position(F.reverse(F.col(g)), F.array_min(g)).cast("int")
+    df = df.withColumn(m, F.when(F.size(g) >= window, F.array_distinct(m)).when(F.size(g) > 0, F.array(least)).otherwise(F.array().cast("array<int>"))).drop(i)
+    return df.withColumn(to, F.struct(F.transform(m, lambda at: F.get(F.col(g), at)).alias("hash"), F.col(m).alias("position"))).drop(g, m)
 
 
 def hashes(kept: Column) -> Column:
     """The distinct kept hashes."""
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, POSITION_BITS)))
-
-
-def positions(kept: Column) -> Column:
-    """First word, from 0, of each kept gram."""
-    return F.transform(kept, lambda x: (F.lit(LAST) - x.bitwiseAND(F.lit(LAST).cast("bigint"))).cast("int"))
+    return F.array_distinct(kept["hash"])
 
 
 def digest(kept: Column) -> Column:
@@ -93,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, fingerprint): array of struct<hash, position> for every row. Null and wordless texts give empty arrays."""
     marked = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "kept", k, window)
-    return marked.select("doc_id", F.arrays_zip(F.transform("kept", lambda x: F.shiftright(x, POSITION_BITS)).alias("hash"), positions(F.col("kept")).alias("position")).alias("fingerprint"))
+    return marked.select("doc_id", F.arrays_zip("kept.hash", "kept.position").alias("fingerprint"))
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -113,11 +108,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # at most as many rows as ranges come to the driver
     tops = {r["pid"]: r["top"] for r in picked.groupBy(pid.alias("pid")).agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops, reverse=True)
-    guests = F.lit(None).cast("int")
-    for p, before in zip(order, [order[-1], *order[:-1]] if order else []):
-        top = tops[p]
-        is_top = F.col("doc_id").isNull() if top is None else F.col("doc_id") == F.lit(top)
-        guests = F.when(is_top & (pid == p), F.lit(before)).otherwise(guests)
+    before = dict(zip(order, [order[-1], *order[:-1]] if order else []))
+    by_range = lambda of: F.get(literal_longs([of.get(p) for p in range(len(bounds) + 1)]), pid)
+    guests = F.when(F.col("doc_id").eqNullSafe(by_range(tops)), by_range(before).cast("int"))
     own = F.struct(pid.alias("pid"), F.lit(False).alias("guest"))
     seat = F.when(guests.isNull(), F.array(own)).otherwise(F.array(own, F.struct(guests.alias("pid"), F.lit(True).alias("guest"))))
     seated = picked.withColumn("tie", F.xxhash64("text")).withColumn("seat", F.explode(seat)).select("doc_id", "text", "tie", "seat.pid", "seat.guest")
@@ -139,5 +132,5 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         digest(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("h"), hashes(F.col("edited_kept"))).alias("near_edited"),
         likeness(F.col("h"), F.col("h_next")).alias("near_next"),
-        F.size("kept").cast("bigint").alias("n_kept"),
+        F.size("kept.position").cast("bigint").alias("n_kept"),
     )
