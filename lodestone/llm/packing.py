@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, lean, slices
+from lodestone.llm.common import bounded, lean, materialize, slices
 from lodestone.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
@@ -25,7 +25,7 @@ SHARD_PIECES = 50_000
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece in the order given, and the fill of each bin. Ties go to the smallest gap, then the oldest bin."""
+    """(bin, offset) of each piece in the order given, and the fill of each bin. Ties go to the smallest gap, then to the bin that came to it last."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; gap 0 is closed and stays 0
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins = np.empty(len(lengths), np.int64)
@@ -51,13 +51,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by: str = "words") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document's whole text as ids plus end_id, cut into pieces of capacity."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by: str = "words", special_as_text: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document's whole text as ids plus end_id, cut into pieces of capacity.
+
+    Strings of special tokens become their ids, as the tokenizer file has it, unless special_as_text is set.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, first = with_end(*encoder(tokenizer_path, by).encode(batch.column("text")), end_id)
+            ids, first = with_end(*encoder(tokenizer_path, by, special_as_text).encode(batch.column("text")), end_id)
             ids = ids.astype("<u4")
             n = -(-np.diff(first) // capacity)
             doc = np.repeat(np.arange(batch.num_rows), n)
@@ -94,10 +97,12 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, shard_pieces:
     return dealt.groupBy("_shard").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by: str = "words", shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by: str = "words", shard_pieces: int = SHARD_PIECES, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed once each. Null ids are kept.
-    Only id and text are read, so other columns may have any names. An empty table gives an empty table.
+    Only id and text are read, so other columns may have any names. An empty table gives an empty table. The pieces are
+    written once, so that their number, which sets the number of shards, is known and no text is encoded again.
     """
-    return pack(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, by), docs.count(), capacity, shard_pieces)
+    found = materialize(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, by, special_as_text), "pieces")
+    return pack(found, found.count(), capacity, shard_pieces)

@@ -3,6 +3,9 @@
 Text is cut where no token of the vocabulary's pre-tokenizer can reach across, pieces are
 dictionary-encoded by Arrow, only pieces not met before go through the tokenizer, and ids
 are laid out again by index arithmetic. The result equals encode(text) of each text.
+
+Strings of the vocabulary's special tokens, such as <|endoftext|>, are taken as the tokenizer
+file takes them when loaded: as their ids. With special_as_text they are ordinary text.
 """
 
 from __future__ import annotations
@@ -77,12 +80,17 @@ def _cuts(data: np.ndarray, starts: np.ndarray, by: str) -> np.ndarray:
 class PieceEncoder:
     """Encodes batches of texts; by="blanks" for byte-level BPE, by="words" for vocabularies that drop white space and case."""
 
-    def __init__(self, path: str, by: str):
+    def __init__(self, path: str, by: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else self.tokenizer.get_added_tokens_decoder().items()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in added):
+            raise ValueError(f"{path}: special tokens that reach into the text around them are not supported")
+        self.markers = {t.content: i for i, t in added}
+        self.marker = re.compile("|".join(map(re.escape, sorted(self.markers, key=len, reverse=True)))) if self.markers else None
         self.by = by
         self.known: dict[bytes, bytes] = {}
 
@@ -120,6 +128,41 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text plus the end); null texts count as empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.marker is not None:
+            holds = np.zeros(len(texts), bool)
+            for m in self.markers:
+                holds |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+            if holds.any():
+                return self._encode_marked(texts, holds)
+        return self._encode_plain(texts)
+
+    def _encode_marked(self, texts: pa.Array, holds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(): texts are cut at special tokens, whose neighbours the library encodes apart."""
+        parts, owner, marks = [], [], []
+        for i, has in enumerate(holds.tolist()):
+            if not has:
+                parts.append(texts[i].as_py())
+                owner.append(i)
+                marks.append(-1)
+                continue
+            text, at = texts[i].as_py(), 0
+            for m in self.marker.finditer(text):
+                parts.append(text[at : m.start()])
+                owner.append(i)
+                marks.append(self.markers[m.group()])
+                at = m.end()
+            parts.append(text[at:])
+            owner.append(i)
+            marks.append(-1)
+        ids, first = self._encode_plain(pa.array(parts, pa.large_string()))
+        marks = np.array(marks)
+        marked = np.flatnonzero(marks >= 0)
+        ids = np.insert(ids, first[1:][marked], marks[marked].astype(ids.dtype))
+        upto = first + np.concatenate([[0], np.cumsum(marks >= 0)])
+        heads = np.searchsorted(np.array(owner), np.arange(len(texts) + 1))
+        return ids, upto[heads]
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
@@ -140,14 +183,15 @@ class PieceEncoder:
         return ids, (upto - upto[0])[first]
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, by: str) -> PieceEncoder:
+def encoder(path: str, by: str, special_as_text: bool = False) -> PieceEncoder:
     """One encoder per Python worker and vocabulary."""
-    if (path, by) not in _ENCODERS:
-        _ENCODERS[path, by] = PieceEncoder(path, by)
-    return _ENCODERS[path, by]
+    key = (path, by, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def made_texts(seed=3):
         w[rnd.randrange(200)] = "changed"
         texts.append("\n".join(w))
     texts += [" ".join(prose(9) + passage + prose(k)) for k in range(8)] + [" ".join(passage[:50]), " ".join(passage[:49]), " ".join(passage * 3)]
-    texts += ["", None, " \t\n", "one", "Licensed under the MIT License. All rights reserved.", "x" * 50_000, "é ü 日本 ok\x0b\x0cfine", "a " * 3000, "don't  stop\n\nnow  "]
+    texts += ["", None, " \t\n", "one", "Licensed under the MIT License. All rights reserved.", "x" * 50_000, "é ü 日本 ok\x0b\x0cfine", "a " * 3000, "don't  stop\n\nnow  ", "ends<|endoftext|> here"]
     return texts
 
 
@@ -182,7 +182,7 @@ def winnowed(text, k=5, w=8):
         a = 0
         for x in xs:
             a = rot(a, 1) ^ x
-        return a >> 28
+        return a - (a >> 63 << 64)  # signed, as the engine keeps and compares it
 
     g = [gram(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [gram(h)] if h else []
     out = []
@@ -210,6 +210,21 @@ def test_edits_follow_descending_ids(docs, texts):
         assert math.isclose(r["near_edited"], likeness(winnowed(t), winnowed(edited))) and math.isclose(r["near_next"], likeness(winnowed(t), winnowed(after)))
 
 
+def test_winnowing_plans_and_gives_the_same_rows_at_many_partitions(spark, docs, texts):
+    got = sorted(map(tuple, winnowing.edit_likeness(docs).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        many = winnowing.edit_likeness(docs)
+        assert sorted(map(tuple, many.collect())) == got
+        # ids of 5000 ranges: all cut points and guests are in the plan
+        wide = winnowing.edit_likeness(spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text"))
+        assert len(wide._jdf.queryExecution().executedPlan().toString()) > 0
+        assert wide.where("doc_id = 17").first()["near_next"] == 0.0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_winnowing_is_native_and_takes_odd_rows(odd, nothing):
     plan = winnowing.edit_likeness(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|BatchEval", plan)
@@ -259,20 +274,20 @@ def test_licenses_odd_rows(odd, nothing):
     assert licenses.license_digest(licenses.scan_licenses(odd)).count() == 7 and licenses.scan_licenses(nothing).count() == 0
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize(("file", "by"), [("byte_bpe_50k.json", "blanks"), ("word_bpe_49k.json", "words")])
-def test_pieces_encode_like_whole_texts(file, by, texts):
+def test_pieces_encode_like_whole_texts(file, by, texts, as_text):
     rnd = random.Random(1)
-    bits = [" ", "  ", "\n", "\t", "a", "B", "é", " ", "　", "\xa0", "'s", "'", "1", "!", "日", "\r", "\x1c", "\x85", "́", "İ", "Σ", "<|endoftext|>", "̸", "="]
-    many = texts + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    bits = [" ", "  ", "\n", "\t", "a", "B", "é", " ", "　", "\xa0", "'s", "'", "1", "!", "日", "\r", "\x1c", "\x85", "́", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "<|END", "̸", "="]
+    many = texts + ["<|endoftext|>", "a<|endoftext|>", " <|endoftext|><|endoftext|> b", "<|startoftext|><|endoftext|"] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(60))) for _ in range(1500)]
     whole = Tokenizer.from_file(public_tokenizers.path(file))
-    whole.encode_special_tokens = True
-    ids, first = tokens.PieceEncoder(public_tokenizers.path(file), by).encode(pa.array(many))
+    whole.encode_special_tokens = as_text
+    ids, first = tokens.PieceEncoder(public_tokenizers.path(file), by, as_text).encode(pa.array(many))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [x.ids for x in whole.encode_batch([t or "" for t in many], add_special_tokens=False)]
 
 
 def expected_ids(texts, file, end):
     whole = Tokenizer.from_file(public_tokenizers.path(file))
-    whole.encode_special_tokens = True
     return [x.ids + [end] for x in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -322,6 +337,13 @@ def test_sum_of_squares_rule():
     assert max(levels) <= 40 and fill.sum() == lengths.sum()
 
 
+def test_a_shard_holds_a_bounded_number_of_pieces_of_long_documents(spark):
+    docs = spark.createDataFrame([(i, "word " * 40_000) for i in range(20)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=100, shard_pieces=100).collect()
+    shards = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 20 * 401 and max(shards.values()) < 200
+
+
 def test_packing_odd_rows(odd, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack_documents(odd, path).count() == 7 and packing.pack_documents(nothing, path).count() == 0
