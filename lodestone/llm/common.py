@@ -84,11 +84,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def enough_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Shuffle partitions, or more of them where df's files are larger than that many times bytes_each. From the plan's statistics, no job."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = partitions(df.sparkSession)
+    return few if size > 1 << 60 else min(max(few, -(-size // bytes_each)), 100_000)
+
+
 def id_bounds(df: DataFrame, col: str, n: int) -> list[int]:
     """At most n - 1 ascending cut points that split the ids in col into ranges of about equal count. Reads that column only."""
     if n < 2:
         return []
-    cuts = df.where(F.col(col).isNotNull()).agg(F.percentile_approx(col, [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"]
+    cuts = df.where(F.col(col).isNotNull()).agg(F.percentile_approx(col, [k / n for k in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"]
     return sorted(set(cuts or []))
 
 

@@ -4,23 +4,28 @@ Distinct vectors are dealt to shards by a hash and every shard gets a graph. Eve
 then queries every shard with a beam. A query whose beam ends inside the radius is searched
 again with a wider one, and a sample of each block of queries is audited against brute
 force, query by query: the whole block's beam is widened until the audit passes. A beam as wide
-as the shard is no graph walk but a product with the whole shard, which is exact. Hits are verified by cosine in double precision. A task returns each query's
-number of links and a spanning forest of what it linked, so no pairs travel.
+as the shard is no graph walk but a product with the whole shard, which is exact. Hits are verified by cosine in double precision.
+A task loads one graph and streams its share of the queries through it, block by block; it returns each query's number of
+links and a spanning forest of what it linked, so no pairs travel. A graph goes to at most PARTS tasks, so graphs are
+shipped in proportion to the input; that every query meets every shard is the method's own cost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Sets, materialize
+from lodestone.llm.common import Sets, bounded, lean, materialize, partitions
 from lodestone.llm.components import connected_components
 
 SHARDS = 6
-SHARD_ROWS = 1_000_000
+SHARD_BYTES = 128 << 20
 BLOCK_ROWS = 25_000
+PARTS = 16
 DEGREE = 16
 BUILD_BEAM = 48
 BEAM = 32
@@ -224,10 +229,16 @@ def audited_links(graph: Graph, x: np.ndarray, q: np.ndarray, radius: float, bea
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by their largest component first, so that no finite row's norm over- or underflows."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _to_blob(ids: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, graph: Graph) -> bytes:
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    if np.array_equal(single.astype(np.float64), vectors):  # half the bytes where nothing is lost
+        vectors = single
     parts = [ids, sizes, vectors, *graph.members, *graph.links]
     batch = pa.record_batch([pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([p.dtype.str for p in parts]), pa.array([list(p.shape) for p in parts], pa.list_(pa.int64()))], names=["data", "kind", "shape"])
     sink = pa.BufferOutputStream()
@@ -241,72 +252,103 @@ def _from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     parts = [np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in rows]
     ids, sizes, vectors = parts[:3]
     levels = (len(parts) - 3) // 2
-    x = _unit(vectors)
+    x = _unit(vectors.astype(np.float64))
     return ids, sizes, x, Graph(x.astype(np.float32), parts[3 : 3 + levels], parts[3 + levels :])
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", radius: float = 0.9, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", radius: float = 0.9, shards: int = SHARDS, shard_bytes: int = SHARD_BYTES, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and stay alone; so do rows
-    with a null id. Vectors of other lengths never link. Equal vectors are compared once and count as links of one another.
-    shards is the least number of shards; more are used where a shard would hold more than shard_rows vectors. Other columns
-    are not read. An empty table gives an empty table.
+    with a null id. Any other finite vector counts, however large or small. Vectors of other lengths never link. Equal vectors
+    are compared once and count as links of one another. Links join vectors, not ids: where an id stands in rows of different
+    vectors, each has its own links and its own component, which is named by the smallest id among its vectors.
+    shards is the least number of shards; more are used where a shard's vectors and links would take more than shard_bytes.
+    Other columns are not read. An empty table gives an empty table.
     """
     if not 0 < radius <= 1:
         raise ValueError("the radius is a cosine above 0")
     picked = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e150)))
-    valid = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: F.abs(c) > F.lit(1e-150)), F.lit(False))
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0), F.lit(False))
     marked = picked.withColumn("valid", valid)
     classes = marked.where("valid").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    classes = materialize(classes, "vectors")
-    n = classes.count()
-    shards = max(shards, -(-n // shard_rows))
-    blocks = max(1, -(-n // block_rows))
+    # the numbers are settled once the table is written
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    n, widest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    shards = max(shards, -(-n * (8 * widest + 8 * DEGREE + 32) // shard_bytes))
+    parts = min(PARTS, max(1, -(-n // block_rows)))
     dim = F.size("v").cast("bigint")
     home = dim * shards + F.pmod(F.xxhash64("v"), F.lit(shards))
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
+        table = table.sort_by("node")
         rows = _vectors(table.column("v"))
         graph = Graph.build(_unit(rows).astype(np.float32))
-        blob = _to_blob(table.column("rep").to_numpy(), table.column("size").to_numpy(), rows, graph)
+        blob = _to_blob(table.column("node").to_numpy(), table.column("size").to_numpy(), rows, graph)
         return pa.table({"shard": table.column("shard")[:1], "graph": pa.array([blob], pa.binary())})
 
     graphs = materialize(classes.withColumn("shard", home).groupBy("shard").applyInArrow(build, "shard bigint, graph binary"), "graphs")
-    asked = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("v", F.lit(11)), F.lit(blocks)).cast("int")
-    queries = classes.select("rep", "v", block.alias("block"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: dim * shards + s)).alias("shard"))
-    schema = "a bigint, b bigint, n bigint"
-
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in "abn"})
-        ids, sizes, x, graph = _from_blob(left.column("graph")[0].as_py())
-        right = right.sort_by("rep")
-        reps = right.column("rep").to_numpy()
-        i, r = audited_links(graph, x, _unit(_vectors(right.column("v"))), radius, recall=recall)
-        other = reps[i] != ids[r]
-        i, r = i[other], r[other]
-        n = np.bincount(i, weights=sizes[r], minlength=len(reps)).astype(np.int64)
-        nodes = np.unique(np.concatenate([reps, ids]))
-        sets = Sets(len(nodes))
-        sets.union(np.searchsorted(nodes, reps[i]), np.searchsorted(nodes, ids[r]))
-        a, b = sets.links()
-        counted = np.flatnonzero(n)
-        return pa.table({"a": pa.array(np.concatenate([reps[counted], nodes[a]])), "b": pa.array(np.concatenate([np.zeros(len(counted), np.int64), nodes[b]]), mask=np.arange(len(counted) + len(a)) < len(counted)), "n": pa.array(np.concatenate([n[counted], np.zeros(len(a), np.int64)]))})
-
-    found = materialize(asked.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(ask, schema), "vector-links")
+    none = lambda kind: F.lit(None).cast(kind)
+    loads = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), none("bigint").alias("node"), "graph", none("array<double>").alias("v"))
+    part = F.pmod(F.xxhash64("v", F.lit(11)), F.lit(parts)).cast("int")
+    asked = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: dim * shards + k)).alias("shard"), part.alias("part"), "node", none("binary").alias("graph"), "v")
+    # a graph (node is null) comes before the queries of its shard and part
+    dealt = loads.unionByName(asked).repartition(max(partitions(vectors.sparkSession), min(shards * parts, 100_000)), "shard", "part").sortWithinPartitions("shard", "part", F.col("node").asc_nulls_first())
+
+    @lean
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, loaded, held, n_held = None, None, [], 0
+
+        def answer() -> pa.RecordBatch:
+            ids, sizes, x, graph = loaded
+            nodes_asked = np.concatenate([h[0] for h in held])
+            i, r = audited_links(graph, x, _unit(np.concatenate([h[1] for h in held])), radius, recall=recall)
+            held.clear()
+            other = nodes_asked[i] != ids[r]
+            i, r = i[other], r[other]
+            n = np.bincount(i, weights=sizes[r], minlength=len(nodes_asked)).astype(np.int64)
+            nodes = np.unique(np.concatenate([nodes_asked, ids]))
+            sets = Sets(len(nodes))
+            sets.union(np.searchsorted(nodes, nodes_asked[i]), np.searchsorted(nodes, ids[r]))
+            a, b = sets.links()
+            counted = np.flatnonzero(n)
+            blank = np.arange(len(counted) + len(a)) < len(counted)
+            columns = [np.concatenate([nodes_asked[counted], nodes[a]]), np.concatenate([np.zeros(len(counted), np.int64), nodes[b]]), np.concatenate([n[counted], np.zeros(len(a), np.int64)])]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=blank), pa.array(columns[2])], ["a", "b", "n"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part")], axis=1)
+            is_graph = batch.column("node").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | is_graph[1:] | is_graph[:-1], [True]])) if batch.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if tuple(keys[lo]) != at:
+                    if held and loaded is not None:
+                        yield answer()
+                    held, n_held, loaded, at = [], 0, None, tuple(keys[lo])
+                if is_graph[lo]:
+                    loaded = _from_blob(batch.column("graph")[int(lo)].as_py())
+                elif loaded is not None:  # no vector of this length lives in the shard otherwise
+                    rows = batch.slice(lo, hi - lo)
+                    held.append((rows.column("node").to_numpy(zero_copy_only=False).astype(np.int64), _vectors(rows.column("v"))))
+                    n_held += hi - lo
+                    if n_held >= block_rows:
+                        yield answer()
+                        n_held = 0
+        if held and loaded is not None:
+            yield answer()
+
+    found = materialize(bounded(dealt).mapInArrow(ask, "a bigint, b bigint, n bigint"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    nodes = connected_components(found.where("b is not null").select("a", "b"))
-    per_class = classes.join(counts, F.col("rep") == F.col("a"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
-    per_class = per_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = marked.withColumn("k", F.when(F.col("valid"), F.col("v"))).join(per_class.withColumnRenamed("v", "k"), "k", "left")
-    component = F.when(F.col("valid"), F.col("component")).otherwise(F.col("vec_id"))
+    joined = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "member")
+    per_class = classes.join(counts, F.col("node") == F.col("a"), "left").join(joined, F.col("node") == F.col("member"), "left").withColumn("component", F.coalesce("component", "node"))
+    named = per_class.groupBy("component").agg(F.min("rep").alias("named"))
+    per_class = per_class.join(named, "component").select(F.col("v").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "named")
+    out = marked.withColumn("k", F.when(F.col("valid"), F.col("v"))).join(per_class, "k", "left")
+    component = F.when(F.col("valid"), F.col("named")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -13,7 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import enough_partitions, materialize
+
 STEPS = 2.0**52
+HOT_SOURCES = 1_000
 
 
 def uniform(key: Column, salt: str) -> Column:
@@ -22,11 +25,18 @@ def uniform(key: Column, salt: str) -> Column:
 
 
 def poisson_steps(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to where a 52-bit number can't reach. Rates are cut into exponents that don't underflow."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 60).cast("int")
-    start = F.named_struct(F.lit("p"), F.exp(-rate), F.lit("total"), F.exp(-rate), F.lit("all"), F.array(F.exp(-rate)))
+    """struct<first, steps>: P(X <= k) for k = first, first + 1, ... up to where a 52-bit number can't reach.
+
+    Below first lies less than 1e-30 of the distribution. The first probability is added up in logarithms, so no rate underflows.
+    """
+    reach = 12 * F.sqrt(rate) + 60
+    first = F.greatest(F.lit(0), F.ceil(rate - reach).cast("int"))
+    logs = F.when(first > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(first, F.lit(1))), F.lit(0.0), lambda acc, k: acc + F.log(rate / k))).otherwise(0.0)
+    p = F.exp(logs - rate)
+    start = F.named_struct(F.lit("p"), p, F.lit("total"), p, F.lit("all"), F.array(p))
     grow = lambda acc, k: F.named_struct(F.lit("p"), acc["p"] * rate / k, F.lit("total"), acc["total"] + acc["p"] * rate / k, F.lit("all"), F.concat(acc["all"], F.array(acc["total"] + acc["p"] * rate / k)))
-    return F.aggregate(F.sequence(F.lit(1), top), start, grow, lambda acc: acc["all"])
+    steps = F.aggregate(F.sequence(first + 1, F.ceil(rate + reach).cast("int")), start, grow, lambda acc: acc["all"])
+    return F.struct(first.alias("first"), steps.alias("steps"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "source", epochs: float = 1.0, temper: float = 0.5) -> DataFrame:
@@ -55,16 +65,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
 
     Rows that draw 0 are left out: that is the method. Null sources are a source of their own; a null id draws as the
     text 'null' does; rows that repeat an id draw alike. Columns of docs named like the added ones are replaced.
+
+    The steps of at most HOT_SOURCES sources with the most rows are broadcast, which is all of them unless there are more; the others
+    have few rows each and are joined. The order's key is a uniform hash, so ranges of equal size are known without a sample of
+    the rows and one shuffle of the copies is all.
     """
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
     names = docs.columns
-    steps = rates(docs, weights, source_col, epochs, temper).select(F.col("source").alias("_mix_source"), F.when(F.col("rate") > 700, F.array().cast("array<double>")).otherwise(poisson_steps(F.least("rate", F.lit(700.0)))).alias("_mix_steps"), F.col("rate").alias("_mix_rate"))
+    drawing = rates(docs, weights, source_col, epochs, temper).withColumn("_mix", F.when(F.col("rate") > 0, poisson_steps(F.col("rate"))))
+    steps = materialize(drawing.select(F.col("source").alias("_mix_source"), F.col("_mix.first").alias("_mix_first"), F.col("_mix.steps").alias("_mix_steps"), F.col("n").alias("_mix_n")), "steps")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     u = uniform(key, f"draw-{seed}")
-    drawn = docs.join(steps, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    # beyond a mean of 700 the first step would underflow: the normal limit, off by less than one copy in thousands, takes over
-    wide = F.greatest(F.lit(0.0), F.round(F.col("_mix_rate") + F.sqrt("_mix_rate") * F.sqrt(-2 * F.log(F.greatest(u, F.lit(1 / STEPS)))) * F.cos(2 * math.pi * uniform(key, f"wide-{seed}")))).cast("int")
-    n = F.when(F.col("_mix_rate") > 700, wide).otherwise(F.size(F.filter("_mix_steps", lambda c: c <= u)))
-    copies = drawn.withColumn("mix_copies", n).where("mix_copies > 0").select(*names, "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
+    same = F.col(source_col).eqNullSafe(F.col("_mix_source"))
+    if steps.count() <= HOT_SOURCES:
+        drawn = docs.join(F.broadcast(steps), same)
+    else:
+        top = steps.orderBy(F.col("_mix_n").desc(), "_mix_source").limit(HOT_SOURCES)
+        hot = F.broadcast(top)
+        rest = docs.join(hot.select("_mix_source"), same, "left_anti")
+        drawn = docs.join(hot, same).unionByName(rest.join(steps, same))
+    n = F.coalesce(F.col("_mix_first") + F.size(F.filter("_mix_steps", lambda c: c <= u)), F.lit(0))
+    # a row of no copies explodes to none; a filter in its place would be pushed below the join, to a side that lacks the id
+    places = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(0), F.col("mix_copies") - 1))
+    copies = drawn.withColumn("mix_copies", n).select(*names, "mix_copies", F.explode(places).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"order-{seed}:"), key, F.lit(":"), F.col("mix_copy").cast("string"))))
-    return keyed.orderBy("mix_key").select(*names, "mix_copy", "mix_copies", "mix_key")
+    ranges = enough_partitions(docs)
+    place = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges)
+    dealt = keyed.repartitionById(ranges, F.shiftrightunsigned(place, 32).cast("int"))
+    return dealt.sortWithinPartitions("mix_key").select(*names, "mix_copy", "mix_copies", "mix_key")

@@ -70,7 +70,7 @@ OP10_SQL = """
 WITH counts AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, w * sum(n) OVER () / (sum(w) OVER () * n) AS rate FROM counts),
 steps AS (SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
-          FROM rates, generate_series(0, 200) AS g(k)),
+          FROM rates, LATERAL (SELECT unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 60)::BIGINT)) AS k)),
 drawn AS (SELECT d.*, ('0x' || substr(md5('draw-42:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents d),
 many AS (SELECT d.doc_id, count(*) AS n FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.upto <= d.u GROUP BY d.doc_id)
 SELECT d.*, c.copy::INTEGER AS mix_copy, m.n::INTEGER AS mix_copies, md5('order-42:' || d.doc_id || ':' || c.copy) AS mix_key

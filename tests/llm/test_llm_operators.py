@@ -543,6 +543,15 @@ def test_embedding_links_match_brute_force(spark, vectors):
         assert (got[1000 + k]["n_links"], got[1000 + k]["component_id"], got[1000 + k]["kept"]) == (0, 1000 + k, True)
 
 
+def test_links_belong_to_vectors_where_ids_repeat_and_to_any_finite_size(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [0.02, 1.0, 0.0]), (5, [0.0, 0.0, 1e300]), (6, [0.0, 1e290, 1e300]), (7, [0.0, 0.0, 1e-320]), (8, [0.0, -0.0, 0.0])]
+    odd = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id bigint, embedding array<double>, node string, n_links int")
+    for parts in ({}, {"block_rows": 2, "shards": 3}, {"shard_bytes": 1000}):
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicate_vectors(odd, **parts).collect())
+        assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True)]
+
+
 def test_graph_recall_against_brute_force():
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(300, 32))
