@@ -372,6 +372,25 @@ def test_minimal_perfect_hash():
             assert (idstore.lookup(keys + 10**9, seeds.tobytes(), prints.tobytes()) == -1).mean() > 0.99
 
 
+def test_keyed_reads_of_present_absent_and_repeated_ids(spark, tmp_path, docs, texts, nothing):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    path = str(tmp_path / "store")
+    idstore.write_store(docs, file, path)
+    ids = expected_ids(texts, "byte_bpe_50k.json", 2)
+    asked = [1, 4, 3 * len(texts) - 2, 2, 0, -5, 10**12, None, 4]
+    got = {(r["doc_id"], r["occurrence"]): r["tokens"] for r in idstore.get_documents(spark, path, asked).collect()}
+    assert got == {(1, 0): ids[0], (4, 0): ids[1], (3 * len(texts) - 2, 0): ids[-1]}
+    assert idstore.get_documents(spark, path, []).count() == 0 == idstore.get_documents(spark, path, [3]).count()
+    many = spark.createDataFrame([(5, f"t{k}") for k in range(9)] + [(6, "x")], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    idstore.write_store(many, file, path + "2", shard_docs=1)  # one id's rows in several shards
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.read.parquet(path + "2").count() >= 5
+    assert sorted((r["doc_id"], r["occurrence"]) for r in idstore.get_documents(spark, path + "2", [5, 6, 7]).collect()) == [(5, k) for k in range(9)] + [(6, 0)]
+    idstore.write_store(nothing, file, path + "3")
+    assert idstore.get_documents(spark, path + "3", [1]).count() == 0
+
+
 def test_id_store_odd_rows(odd, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = sorted(idstore.store_documents(odd, path).collect(), key=lambda r: r["start"])
