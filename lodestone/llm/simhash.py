@@ -12,8 +12,10 @@ linked, never the pairs, and components are found over those stars.
 
 similar_documents() is the form for a wanted likeness of shingle sets. A radius of a few of
 64 bits is far too small for that: at a likeness of 0.8 fingerprints differ in 15 % of bits.
-So it takes 256 bits, a radius that follows from the likeness, and tables keyed by random
-choices of bits; the comparison is the same. What it finds are candidates only: a pair is
+So it takes 256 bits: half of them are compared, at a radius that follows from the likeness,
+and random choices of the other half key the tables. Keys get longer with the number of
+documents, so that buckets stay at about the 64 lanes of a machine word, and the number of
+tables follows, so that recall stays. The comparison is the same. What it finds are candidates only: a pair is
 linked where the Jaccard likeness of the two whole shingle sets, counted exactly, reaches the
 wanted one. Majorities of few shingles differ more often, so short texts are looked up by
 shingles instead: of two sets at the likeness the smallest hashes of each share one.
@@ -31,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import Sets, bounded, lean, materialize, partitions
+from lodestone.llm.common import Sets, bounded, free, lean, materialize, partitions, standing
 from lodestone.llm.components import connected_components
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BUCKET = 65_536
-SMALL_SET = 32
+SMALL_SET = 2
 SHORT_TEXT = 32
+MISSED = 5e-4
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
@@ -248,17 +251,21 @@ def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, small
     return dealt.mapInArrow(compare, "a bigint, b bigint" + (", whole boolean" if small else ""))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = SHINGLE_WORDS, agree: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = SHINGLE_WORDS, agree: int | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(id, fp, component): every row's fingerprint and the smallest id reachable through links of radius or fewer bits.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat an id are
     returned once each and share a component where their texts do. A row with a null id gets the
     component of its fingerprint's other rows, null if there are none. Other columns are not read.
-    An empty table gives an empty table.
+    An empty table gives an empty table. agree blocks of equal bits key a table; unless given, more of them do in larger tables,
+    so that buckets don't grow with the corpus. No pair within the radius is missed either way.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("id").alias("rep"))
     classes = materialize(distinct.where(F.col("rep").isNotNull()), "classes")
+    if agree is None:  # keys of about 21, 27 and 32 bits
+        n = classes.count()
+        agree = 2 if n < 1 << 27 else 3 if n < 1 << 33 else 4
     # an id may stand in two rows with different texts, and so for two fingerprints: its links then join both
     nodes = connected_components(link_fingerprints(classes, radius, agree, max_bucket))
     of = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
@@ -266,6 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 WIDE_WORDS = 4
+COMPARED_WORDS = 2  # the other words key the tables
 _SALTS = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -279,7 +287,14 @@ def wide_fingerprint(shingles: np.ndarray) -> list[int]:
     return out
 
 
-def wide_radius(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+def key_plan(n: int, similarity: float, key_bits: int | None = None, tables: int | None = None) -> tuple[int, int]:
+    """(bits of a key, tables) for n distinct sets: buckets of about 64 sets, and a pair of large sets at the likeness in no common bucket once in 1 / MISSED."""
+    key_bits = key_bits or max(10, min(24, math.ceil(math.log2(max(n, 2))) - 6))
+    agree = (1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi) ** key_bits
+    return key_bits, tables or (1 if agree >= 1 else math.ceil(math.log(MISSED) / math.log1p(-agree)))
+
+
+def wide_radius(similarity: float, bits: int = 64 * COMPARED_WORDS) -> int:
     """Bits that a pair at a Jaccard likeness differs in at most, but for about one in a thousand.
 
     That is 3.3 standard deviations beyond the mean, taken a quarter above the share of large sets: at 0.8 large sets differ
@@ -294,11 +309,9 @@ def least_hashes(shingles: np.ndarray, similarity: float) -> np.ndarray:
     return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
 
 
-def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle_words: int, key_bits: int, tables: int, max_bucket: int) -> DataFrame:
+def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle_words: int, key_bits: int | None, tables: int | None, max_bucket: int) -> DataFrame:
     """(id, x, least): rows by id and xxhash64 of the text, and the least (id, x) of what each is connected with."""
     radius = wide_radius(similarity)
-    rng = np.random.default_rng(SEED)
-    chosen = [np.sort(rng.permutation(64 * WIDE_WORDS)[:key_bits]) for _ in range(tables)]
     prints = [f"f{k}" for k in range(WIDE_WORDS)]
     shingles = lambda t: np.unique(shingle_hashes(t, shingle_words))
 
@@ -326,8 +339,8 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
                 # a set this large may have a partner beyond SHORT_TEXT, which has no shingle keys
                 rows = pa.Table.from_batches([batch])
                 large = rows.filter(rows.column("n").to_numpy() > similarity * SHORT_TEXT).combine_chunks()
-                fps = np.stack([large.column(c).to_numpy() for c in prints], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 64 * WIDE_WORDS // 8), axis=1, bitorder="little")
+                fps = np.stack([large.column(c).to_numpy() for c in prints[COMPARED_WORDS:]], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1 if len(fps) else 8), axis=1, bitorder="little")
                 weights = 1 << np.arange(key_bits)
                 for t, at in enumerate(chosen if len(fps) else []):
                     columns = {"t": np.full(len(fps), t, np.int32), "key": bits[:, at].astype(np.int64) @ weights}
@@ -350,6 +363,9 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
     picked = bounded(picked.select("id", F.xxhash64("text").alias("x"), "text"))
     marked = materialize(picked.mapInArrow(mark, f"id bigint, x bigint, d bigint, n int, short array<bigint>, {wide}"), "wide-fingerprints")
     classes = materialize(marked.groupBy("d", "n", "short", *prints).agg(F.min(F.struct("id", "x")).alias("least")), "wide-classes")
+    key_bits, tables = key_plan(classes.count(), similarity, key_bits, tables)
+    rng = np.random.default_rng(SEED)
+    chosen = [np.sort(rng.permutation(64 * (WIDE_WORDS - COMPARED_WORDS))[:key_bits]) for _ in range(tables)]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole shingle sets are alike enough."""
@@ -360,46 +376,52 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
         both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
         n = F.size("sa") + F.size("sb")
         common = F.size(F.array_intersect("sa", "sb"))
-        return materialize(both.where(F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb")) >= similarity).where(common / (n - common) >= similarity).select("a", "b"), "verified")
+        verified_at = standing()
+        kept = materialize(both.where(F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb")) >= similarity).where(common / (n - common) >= similarity).select("a", "b"), "verified")
+        free(docs.sparkSession, verified_at - 2, (kept,))  # the candidates and their sets
+        return kept
 
     def compared(nodes: DataFrame, names: list[str]) -> DataFrame:
         keys = nodes.mapInArrow(key_of(names), f"t int, key bigint, {', '.join(f'{c} bigint' for c in names)}")
-        return _compared(keys, WIDE_WORDS, radius, max_bucket, SMALL_SET)
+        return _compared(keys, COMPARED_WORDS, radius, max_bucket, SMALL_SET)
 
     nodes = classes.where("n > 0").withColumnRenamed("d", "rep")
-    found = materialize(compared(nodes.select("n", "short", "rep", *prints), ["rep", *prints]).groupBy("a", "b").agg(F.min("whole").alias("whole")), "found")
+    sent = ["rep", *prints[:COMPARED_WORDS]]
+    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).groupBy("a", "b").agg(F.min("whole").alias("whole")), "found")
     links = verified(found)
-    # of large sets of candidates only a star was verified: their other pairs are, where that left them apart
+    # of sets of three or more candidates only a star was verified: their other pairs are, where that left them apart
     stars = found.where("not whole")
     rest = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
     of = connected_components(links)
     if stars.limit(1).count():
         again = nodes.join(rest, "rep").join(of, F.col("rep") == F.col("node"), "left").withColumn("known", F.coalesce("component", "rep"))
-        links = links.union(verified(compared(again.select("n", "short", "rep", *prints, "known"), ["rep", *prints, "known"])))
+        links = links.union(verified(compared(again.select("n", "short", "rep", *prints, "known"), [*sent, "known"])))
         of = connected_components(links)
     joined = classes.select("d", "least").join(of, F.col("d") == F.col("node"), "left").select("d", "least", F.coalesce("component", "d").alias("c"))
     least = joined.groupBy("c").agg(F.min("least").alias("least"))
     return marked.select("id", "x", "d").join(joined.select("d", "c"), "d").join(least, "c").select("id", "x", "least")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int = 16, tables: int = 96, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int | None = None, tables: int | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(id, component): documents in components of pairs whose shingle sets are alike at similarity or more.
 
-    Every link is verified on the whole shingle sets. With 96 tables of 16 bits a pair of long texts right at 0.8 shares a
-    bucket with probability 0.998 or more, and one of short texts always does. Null and empty texts are alike.
+    Every link is verified on the whole shingle sets. key_plan() sets the tables so that a pair of long texts right at the
+    likeness shares a bucket with probability 0.9995; one of short texts always does. Null and empty texts are alike.
     Rows with a null id are left out. Rows that repeat an id are returned once each.
     """
     return _alike(docs, id_col, text_col, similarity, shingle_words, key_bits, tables, max_bucket).select("id", F.col("least.id").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int = 16, tables: int = 96, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, key_bits: int | None = None, tables: int | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """docs with one row of each component of similar_documents(), one of the smallest id, all columns kept.
 
     Rows with a null id stay, as nothing can be told apart by it. Rows are told apart by id and text: where an id stands
     in rows of different texts, each text is judged by itself.
     """
     names = docs.columns
+    before = standing()
     found = materialize(_alike(docs, id_col, text_col, similarity, shingle_words, key_bits, tables, max_bucket), "similar")
+    free(docs.sparkSession, before, (found,))
     stay = found.where(F.struct("id", "x") == F.col("least")).groupBy("id", "x").agg(F.count(F.lit(1)).alias("n"))
     chosen = stay.select(F.col("id").alias("_stay"), F.col("x").alias("_stay_x"))
     marked = docs.withColumn("_x", F.xxhash64(F.col(text_col).cast("string")))
