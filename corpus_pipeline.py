@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, materialize
+from lodestone.llm.common import documents, free, materialize, standing
 from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import crc_fold, score, train
@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: Scores, fingerprints and token ids are beyond SQL; the tests hold the stages against brute force.
+#: Scores, fingerprints and token ids are beyond SQL; the tests hold each stage's operator against brute force, and the stages' effects.
 ORACLE_SQL = None
 
 
@@ -64,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents table."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
+        before = standing()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}")
+            free(spark, before, (docs,))  # what the stage wrote on its way
     return docs
