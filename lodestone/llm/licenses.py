@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded
+from lodestone.llm.common import bounded, lean, slices
 
 #: Lower-cases A-Z and turns every ASCII byte that no word holds into a blank.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -32,30 +32,95 @@ _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 _LICENSED = "<<var;name=opening;match=licensed|is licensed|are licensed|released|distributed|available|provided>> under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>the<<endOptional>> "
-_PERMISSION_NOTICE = "<<beginOptional>>copyright <<var;name=holder;match=0-24>><<endOptional>> "
-
-#: (label, markup); several templates may share a label.
+_HOLDER = "<<beginOptional>>copyright <<var;name=holder;match=0-24>><<endOptional>> "
+_BSD_OPENING = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+    conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list
+    of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above
+    copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. """
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;name=by;match=1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    <<var;name=who;match=1-14>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+    NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+    ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+    THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU_NOTICE = """<<var;name=what;match=This program|This library|This file>> is free software: you can redistribute it and/or modify it under the
+    terms of the GNU %s License as published by the Free Software Foundation, either version %s of the License, or (at your
+    option) any later version. <<var;name=what;match=This program|This library|This file>> is distributed in the hope that it will be useful, but WITHOUT ANY
+    WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %s License for more
+    details."""
+
+#: (label, markup); several templates may share a label. The first are whole license texts up to the end of their mandatory wording, then
+#: come whole notices that stand in files' heads, then one-line statements.
 TEMPLATES = (
-    ("mit", _LICENSED + "mit license"),
-    ("mit", _PERMISSION_NOTICE + """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    ("mit", _HOLDER + """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
         copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
         is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software."""),
-    ("isc", _LICENSED + "isc license"),
+        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=who;match=1-14>> BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("isc", """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee
-        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND <<var;name=who;match=1-6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=whom;match=1-6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("0bsd", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE
+        IS PROVIDED "AS IS" AND <<var;name=who;match=1-6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=whom;match=1-6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause", _BSD_OPENING + _BSD_DISCLAIMER),
+    ("bsd-3-clause", _BSD_OPENING + """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=1-12>> nor the names of
+        <<var;name=whose;match=its|any|the|other>> contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission. """ + _BSD_DISCLAIMER),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;name=who;match=authors|author>>
+        be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+        unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+        DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+        by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+        interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our
+        heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+        this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("apache-2.0-notice", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var;name=what;match=file|software|work>>
+        except in compliance with the License. You may obtain a copy of the License at <<var;name=scheme;match=http|https>>
+        www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+        or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl-2.0-notice", _GNU_NOTICE % ("General Public", "2", "General Public")),
+    ("gpl-3.0-notice", _GNU_NOTICE % ("General Public", "3", "General Public")),
+    ("lgpl-2.1-notice", _GNU_NOTICE % ("Lesser General Public", "2.1", "Lesser General Public")),
+    ("lgpl-3.0-notice", _GNU_NOTICE % ("Lesser General Public", "3", "Lesser General Public")),
+    ("agpl-3.0-notice", _GNU_NOTICE % ("Affero General Public", "3", "Affero General Public")),
+    ("mpl-2.0-notice", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at <<var;name=scheme;match=http|https>> mozilla.org/MPL/2.0"""),
+    ("mit", _LICENSED + "mit license"),
+    ("isc", _LICENSED + "isc license"),
     ("bsd", _LICENSED + "<<beginOptional>><<var;name=kind;match=2 clause|3 clause|new|simplified|revised|modified>><<endOptional>> bsd license"),
-    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list
-        of conditions and the following disclaimer."""),
     ("apache-2.0", _LICENSED + "apache license <<beginOptional>>version<<endOptional>> 2 0"),
-    ("apache-2.0", """you may not use this <<var;name=what;match=file|software|work>> except in compliance with the License. You may obtain a copy of
-        the License at <<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0<<endOptional>>"""),
     ("gpl-2.0", _LICENSED + "gnu general public license <<var;name=version;match=version 2|v2|version 2 0>>"),
     ("gpl-3.0", _LICENSED + "gnu general public license <<var;name=version;match=version 3|v3|version 3 0>>"),
-    ("gpl-notice", """This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation"""),
     ("lgpl", _LICENSED + "gnu <<var;name=kind;match=lesser|library>> general public license"),
     ("agpl", _LICENSED + "gnu affero general public license"),
     ("mpl-2.0", _LICENSED + "mozilla public license <<beginOptional>>version<<endOptional>> 2 0"),
@@ -234,10 +299,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
     span = pa.struct([("word", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _SCANNER:
             _SCANNER.append(Scanner())
-        for batch in batches:
+        for batch in slices(batches, "text"):
             scans = [_SCANNER[0].scan(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -253,7 +253,9 @@ def test_license_places(docs, texts):
         ("Licensed under the Apache License, Version 3.0", set()),
         ("Copyright (c) 2020 Some One. All rights reserved.", {"copyright-notice"}),
         ("SPDX-License-Identifier: MIT", {"spdx"}),
-        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", {"isc"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", set()),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", {"apache-2.0", "apache-2.0-notice"}),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", {"gpl-3.0-notice"}),
         ("Permission to use, copy, alter, and distribute this software for any purpose with or without fee is hereby granted", set()),
     ],
 )
@@ -261,6 +263,26 @@ def test_templates_accept_exact_mandatory_wording_only(text, labels):
     assert {x[2] for x in licenses.Scanner().scan("so " + text + " and on")[2]} == labels
 
 
+def filled(markup):
+    """A text of a template: optional wording kept, open regions filled."""
+    markup = re.sub(r"<<(begin|end)Optional>>", " ", markup)
+    return re.sub(r"<<var;[^>]*match=([^>]*)>>", lambda m: "some one" if re.fullmatch(r"\d+-\d+", m[1]) else m[1].split("|")[0], markup)
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "zlib", "bsl-1.0", "unlicense"])
+def test_whole_license_texts_with_a_word_changed_anywhere_are_not_accepted(label):
+    rnd = random.Random(label)
+    markup = next(m for x, m in licenses.TEMPLATES if x == label)
+    words = filled(markup).split()
+    scan = lambda w: {x[2] for x in licenses.Scanner().scan(" ".join(["so", *w, "on"]))[2]} - {"copyright-notice"}
+    assert scan(words) == {label}
+    last = len(words) - 1
+    for at in [last, *rnd.sample(range(30, last), 12)]:
+        if any(c.isalpha() for c in words[at]) and words[at] not in ("some", "one") and not words[at].strip("1234567890.").startswith("(including"):
+            assert label not in scan([*words[:at], "otherwise-put", *words[at + 1 :]]) or "Optional" in markup and at < 60
+    assert scan(words[:-4]) == set()
+
+
 def test_template_markup():
     auto = licenses.compile_template("t", "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;name=x;match=1-2>> z")
     accepts = {s: auto.match(licenses.words_of(s), 0) for s in ("a q z", "a b q z", "a b c q r z", "a z", "a b c q r s z", "a c d z")}
