@@ -63,10 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents table."""
     docs = documents(spark, sf_dir)
+    before = standing()
     for k, (_, stage) in enumerate(STAGES):
-        before = standing()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}")
-            free(spark, before, (docs,))  # what the stage wrote on its way
+            free(spark, before, (docs,))  # the stage's input and what it wrote on its way
     return docs
