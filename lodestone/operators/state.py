@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import cut
+
 
 def latest_per_key(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The row with the largest seq of each key. A maximum over structs, combined map-side: no key's log is sorted or held."""
@@ -60,7 +62,8 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, n_group
     """
     if group:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    dealt = df.repartitionByRange(n_groups, *order).withColumn("_p", F.spark_partition_id())
+    # dealt once and written: two range exchanges would each draw their own bounds
+    dealt = cut(df.repartitionByRange(n_groups, *order).withColumn("_p", F.spark_partition_id()))
     local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     shift = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_shift"))

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
@@ -66,3 +67,12 @@ def test_forbidden_reach_follows_paths(spark):
     edges = spark.createDataFrame([("app1", "lib1"), ("lib1", "lib2"), ("lib2", "app2")], "a string, b string")
     kinds = spark.createDataFrame([("app1", "app"), ("app2", "app"), ("lib1", "lib"), ("lib2", "lib")], "node string, kind string")
     assert {(r["src"], r["dst"]) for r in graphs.forbidden_reach(edges, kinds, "a", "b").collect()} == {("app1", "app2"), ("lib1", "app2"), ("lib2", "app2")}
+
+
+def test_ranks_are_one_to_n_over_many_rows_with_a_payload(spark):
+    n = 1_200_000
+    rows = spark.range(n).select((F.col("id") * 7919 % 1_000_003).alias("k"), "id", F.md5(F.col("id").cast("string")).alias("payload"))
+    got = state.ranked(rows, [F.col("k").desc(), F.col("id")]).select("k", "id", "rank")
+    assert tuple(got.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()) == (n, n, 1, n)
+    w = Window.partitionBy(F.expr("rank div 1000")).orderBy("rank")
+    assert got.withColumn("before", F.lag("k").over(w)).where("before < k").count() == 0
