@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.functions.templates import expand
 from lodestone.operators import graphs, groups, joins, linediff, review, similarity, state
+from lodestone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lodestone.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL of its rows if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _days(ts: Column) -> Column:
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
 
@@ -51,6 +34,13 @@ def ranked_symptoms(spark, sf):
     return state.ranked(found, [F.col("cross_file").desc(), F.col("signature")])
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS rank FROM lineitem""")
+def ranked_lines(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+    return state.ranked(lines, [F.col("l_extendedprice").desc(), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")]]).drop("l_partkey", "l_suppkey", "l_quantity")
+
+
 @query("""
 WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(p_brand))) AS items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT array_to_string(items, ',') AS items, len(items)::INTEGER AS n_items, count(*) AS owners, min(l_orderkey) AS first_owner
@@ -60,29 +50,29 @@ def set_clumps(spark, sf):
     return groups.exact_set_groups(rows, "l_orderkey", F.col("p_brand")).withColumn("items", F.array_join("items", ","))
 
 
-_LINES = "SELECT DISTINCT doc_id, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> ''"
-_SETS = f"""WITH f AS ({_LINES}), s AS (SELECT doc_id, list_sort(list(line)) AS items, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 4),
+_WORDS = "SELECT DISTINCT doc_id, w AS word FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\r\n]+')) AS w FROM documents) WHERE w <> ''"
+_SETS = f"""WITH f AS ({_WORDS}), s AS (SELECT doc_id, list_sort(list(word)) AS items, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 4),
 c AS (SELECT items, min(doc_id) AS rep, min(n) AS n FROM s GROUP BY items)"""
 
 
-def _line_sets(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
-    return similarity.set_classes(rows, "doc_id", F.col("line"))
+def _word_sets(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\t\\r\\n]+"))).alias("word")).where("word <> ''")
+    return similarity.set_classes(rows, "doc_id", F.col("word"))
 
 
-@query(_SETS + """, x AS (SELECT rep, n, unnest(items) AS line FROM c)
+@query(_SETS + """, x AS (SELECT rep, n, unnest(items) AS word FROM c)
 SELECT a.rep AS a, b.rep AS b, count(*)::INTEGER AS shared, (a.n + b.n - count(*))::INTEGER AS total,
        floor(count(*) * 100.0 / (a.n + b.n - count(*)) + 0.5)::INTEGER AS percent
-FROM x a JOIN x b ON a.line = b.line AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+FROM x a JOIN x b ON a.word = b.word AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
 HAVING count(*) >= 4 AND count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9""")
 def near_dup_docs(spark, sf):
-    pairs, _ = similarity.jaccard_pairs(_line_sets(spark, sf))
+    pairs, _ = similarity.jaccard_pairs(_word_sets(spark, sf))
     return pairs.withColumn("percent", similarity.overlap_percent(F.col("shared"), F.col("total")))
 
 
 @query(_SETS + " SELECT s.doc_id AS owner, c.rep FROM s JOIN c ON s.items = c.items")
 def near_dup_members(spark, sf):
-    return similarity.jaccard_pairs(_line_sets(spark, sf))[1]
+    return similarity.jaccard_pairs(_word_sets(spark, sf))[1]
 
 
 @query("""
@@ -257,11 +247,17 @@ def fuzzy_parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_name").where(fx.subsequence(F.col("p_name"), "blt"))
 
 
-@query("""
-SELECT page_id, CASE lower(list_last(string_split(url, '.'))) WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'go' THEN 'Go' WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' ELSE 'Unknown' END AS language
-FROM pages""")
-def page_languages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", fx.language_of(F.col("url")).alias("language"))
+_ENDINGS = ["rs", "py", "go", "ts", "tsx", "js", "jsx", "java", "c", "h", "cpp", "cc", "cxx", "hpp", "RS", "md", "tar.Py", "none."]
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, 'src/' || p_name || '.' || ({_ENDINGS})[p_size % 18 + 1] AS path FROM part)
+SELECT p_partkey, CASE WHEN e = 'rs' THEN 'Rust' WHEN e = 'py' THEN 'Python' WHEN e = 'go' THEN 'Go' WHEN e IN ('ts', 'tsx') THEN 'TypeScript' WHEN e IN ('js', 'jsx') THEN 'JavaScript'
+       WHEN e = 'java' THEN 'Java' WHEN e IN ('c', 'h') THEN 'C' WHEN e IN ('cpp', 'cc', 'cxx', 'hpp') THEN 'Cpp' ELSE 'Unknown' END AS language
+FROM (SELECT p_partkey, lower(list_last(string_split(path, '.'))) AS e FROM f)""")
+def file_languages(spark, sf):
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("p_size") % 18 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", fx.language_of(F.concat(F.lit("src/"), "p_name", F.lit("."), ending)).alias("language"))
 
 
 @query("""
@@ -308,18 +304,6 @@ def _blast_radius(lines):
     return graphs.blast_radius(calls, refs, "item")
 
 
-@query("""
-WITH c AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee FROM lineitem WHERE l_quantity >= 49),
-r AS (SELECT 'p' || l_partkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
-i AS (SELECT caller AS item FROM c UNION SELECT callee FROM c UNION SELECT item FROM r),
-a AS (SELECT callee AS item, count(*) AS callers FROM c GROUP BY 1), b AS (SELECT caller AS item, count(*) AS callees FROM c GROUP BY 1), o AS (SELECT item, count(*) AS outside_refs FROM r GROUP BY 1)
-SELECT item, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(outside_refs, 0) AS outside_refs,
-       coalesce(callers, 0) + coalesce(callees, 0) + coalesce(outside_refs, 0) AS total
-FROM i LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN o USING (item)""")
-def part_blast_radius(spark, sf):
-    return _blast_radius(table(spark, sf, "lineitem").where("l_quantity >= 49"))
-
-
 @query("""
 WITH c AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee FROM lineitem),
 r AS (SELECT 'p' || l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
@@ -328,7 +312,7 @@ a AS (SELECT callee AS item, count(*) AS callers FROM c GROUP BY 1), b AS (SELEC
 SELECT item, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(outside_refs, 0) AS outside_refs,
        coalesce(callers, 0) + coalesce(callees, 0) + coalesce(outside_refs, 0) AS total
 FROM i LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN o USING (item)""")
-def item_blast_radius(spark, sf):
+def part_blast_radius(spark, sf):
     """Callers, callees and returns of every supplier and part of the whole table."""
     return _blast_radius(table(spark, sf, "lineitem"))
 
@@ -345,7 +329,7 @@ _REVIEW = """WITH chunks AS (SELECT p_partkey AS chunk, p_brand AS file, p_size:
 impacts AS (SELECT s_suppkey + 1 AS decision, 'Brand#' || (s_suppkey % 25 + 1) AS file, s_suppkey % 40 AS s, s_suppkey % 40 + 6 AS e FROM supplier),
 met AS (SELECT DISTINCT chunk, decision FROM chunks c JOIN impacts i USING (file) WHERE c.s <= i.e AND i.s <= c.e),
 idx AS (SELECT * FROM met UNION ALL SELECT chunk, 0 FROM chunks WHERE chunk NOT IN (SELECT chunk FROM met)),
-ev AS (SELECT event_id AS seq, event_type AS t, event_id * 7 % 2000 AS chunk, user_id % 100 + 1 AS decision, 'Brand#' || (user_id % 25 + 1) AS file, 'u' || user_id AS who FROM events),
+ev AS (SELECT event_id AS seq, event_type AS t, event_id * 7 % (SELECT count(*) FROM part) AS chunk, user_id % (SELECT count(*) FROM supplier) + 1 AS decision, 'Brand#' || (user_id % 25 + 1) AS file, 'u' || user_id AS who FROM events),
 touch AS (SELECT chunk, seq, t = 'view' AS approved, TRUE AS own, who FROM ev WHERE t IN ('view', 'purchase') AND chunk IN (SELECT chunk FROM chunks)
   UNION ALL SELECT i.chunk, seq, t = 'signup', FALSE, who FROM ev JOIN idx i USING (decision) WHERE t IN ('signup', 'error')
   UNION ALL SELECT c.chunk, seq, TRUE, FALSE, who FROM ev JOIN chunks c USING (file) WHERE t = 'click')
@@ -361,7 +345,9 @@ def _review(spark, sf):
     actions = {"view": "approve", "purchase": "reject", "signup": "approve_decision", "error": "reject_decision", "click": "approve_file"}
     action = F.element_at(F.create_map(*[F.lit(x) for pair in actions.items() for x in pair]), F.col("event_type"))
     user = F.col("user_id")
-    events = table(spark, sf, "events").select(F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") * 7 % 2000).alias("chunk"), (user % 100 + 1).alias("decision"), F.concat(F.lit("Brand#"), user % 25 + 1).alias("file"), F.concat(F.lit("u"), user).alias("by"))
+    # chunks and decisions of the log cover the keys of part and supplier, which count from 0
+    sizes = table(spark, sf, "part").agg(F.count(F.lit(1)).alias("parts")).crossJoin(table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("suppliers")))
+    events = table(spark, sf, "events").crossJoin(F.broadcast(sizes)).select(F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") * 7 % F.col("parts")).alias("chunk"), (user % F.col("suppliers") + 1).alias("decision"), F.concat(F.lit("Brand#"), user % 25 + 1).alias("file"), F.concat(F.lit("u"), user).alias("by"))
     return chunks, impacts, events, review.decision_index(chunks, impacts)
 
 
@@ -429,3 +415,6 @@ def imported_instructions(spark, sf):
     incoming = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("content"))
     existing = table(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("k"))
     return review.import_outcomes(incoming, existing, ["k"], "seq", "content")
+
+
+from lodestone.plans import detector_queries  # noqa: E402, F401  (registers its queries)
