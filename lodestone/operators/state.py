@@ -68,3 +68,37 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, n_group
     sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     shift = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_shift"))
     return local.join(F.broadcast(shift), "_p").withColumn("rank", (F.col("_r") + F.col("_shift")).cast("bigint")).drop("_p", "_r", "_shift")
+
+
+def ttl_entries(log: DataFrame, keys: list[str], seq: str, gone: str | None = None) -> DataFrame:
+    """All entries of the map, expired ones too; keys whose last entry is a deletion (gone is true) have none."""
+    latest = latest_per_key(log, keys, seq)
+    return latest if gone is None else latest.where(~F.coalesce(F.col(gone), F.lit(False)))
+
+
+def ttl_delete(log: DataFrame, wanted: DataFrame, keys: list[str], seq: str, when: str, now: Column, ttl: int | None) -> tuple[DataFrame, DataFrame]:
+    """(the map without the wanted keys, the entries taken out that were still valid)."""
+    latest = latest_per_key(log, keys, seq)
+    return latest.join(wanted.select(*keys), keys, "left_anti"), valid_at(latest.join(wanted.select(*keys).distinct(), keys, "left_semi"), when, now, ttl)
+
+
+def session_choices(log: DataFrame, session: str, now: Column, variables: DataFrame | None = None, ttl: int = 86_400) -> DataFrame:
+    """(var, choice) that hold in a session: the latest of each variable since the last clear, within ttl; unknown variables are left out.
+
+    log: session, seq, action (set, clear), var, choice, when.
+    """
+    own = log.where(F.col("session") == session)
+    cleared = own.where("action = 'clear'").agg(F.max("seq").alias("_c"))
+    live = own.where("action = 'set'").crossJoin(F.broadcast(cleared)).where("_c is null or seq > _c").select("var", "seq", "choice", "when")
+    found = valid_at(latest_per_key(live, ["var"], "seq"), "when", now, ttl).select("var", "choice")
+    return found if variables is None else found.join(variables.select("var"), "var", "left_semi")
+
+
+def rerun(log: DataFrame, seq: str, back: int = 1) -> DataFrame:
+    """The entry that stands back places from the end of a log."""
+    return last_n(log, seq, back).orderBy(F.col(seq).asc()).limit(1)
+
+
+def next_index(names: DataFrame, key: str) -> DataFrame:
+    """key, index: the number that the next window of each name takes, one more than there are."""
+    return names.groupBy(key).agg((F.count(F.lit(1)) + 1).alias("index"))

@@ -417,4 +417,4 @@ def imported_instructions(spark, sf):
     return review.import_outcomes(incoming, existing, ["k"], "seq", "content")
 
 
-from lodestone.plans import detector_queries  # noqa: E402, F401  (registers its queries)
+from lodestone.plans import alias_queries, detector_queries, text_queries  # noqa: E402, F401  (they register their queries)
