@@ -44,7 +44,7 @@ def partial_substitution(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT r_name AS ns, n_name AS name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+WITH a AS (SELECT replace(r_name, ' ', '_') AS ns, n_name AS name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
 q AS (SELECT ns, name, k, 'go {{ ' || ns || '::x }} {{ o::y }}' AS value FROM a)
 SELECT a.ns AS namespace, a.name, 'go {{x}} {{ o::y }}' || CASE WHEN a.k > 0 AND a.k % 2 = 0 THEN ' && ' || q.value || ' | ' || q.value ELSE '' END || CASE WHEN a.k % 4 = 2 THEN ' [[ lost ]]' ELSE '' END AS alias,
        CASE WHEN a.k % 4 = 2 THEN a.ns || '::lost' ELSE '' END AS missing
@@ -52,7 +52,7 @@ FROM a LEFT JOIN q ON q.k = a.k - 1""")
 def inlined_aliases(spark, sf):
     """Every other nation's alias refers twice to the one of the nation before it, some to one that is not there."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("namespace"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.replace("r_name", F.lit(" "), F.lit("_")).alias("namespace"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
     before = named.select(F.concat("namespace", F.lit("::"), "name").alias("ref"), (F.col("k") + 1).alias("k"))
     text = F.concat(
         F.lit("go {{x}} {{ o::y }}"),
