@@ -20,35 +20,43 @@ from lodestone.llm.winnowing import edit_likeness
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document, and the component of fingerprints linked at 4 or fewer of 64 bits. Null and empty texts have fingerprint zero."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and of its edited text, and how alike they and those of the next document are."""
     return edit_likeness(documents(spark, sf_dir))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in every document. Null texts have no words, and nulls for the places."""
     return license_digest(scan_licenses(documents(spark, sf_dir)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of at most 4096 tokens, packed into few sequences."""
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed unigram score and log-bilinear score of every document, learnt from all folds but one."""
     return score_documents(documents(spark, sf_dir))
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all embeddings, and their components. Vectors that have no direction stay alone."""
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without windows of 50 words that start in a document of a smaller id."""
     return dedup_substrings(documents(spark, sf_dir))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled ones outside the held-out fold."""
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold=lambda i: crc_fold(i, 3) != 1)
     scored = score(docs, model)
@@ -56,10 +64,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a store of token ids, read back through its indexes."""
     return store_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated by their Poisson draws, which bring sources nearer to equal shares, in a global random order."""
     return mix(documents(spark, sf_dir))
 
 
