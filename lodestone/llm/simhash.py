@@ -387,16 +387,16 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
 
     nodes = classes.where("n > 0").withColumnRenamed("d", "rep")
     sent = ["rep", *prints[:COMPARED_WORDS]]
-    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).groupBy("a", "b").agg(F.min("whole").alias("whole")), "found")
-    links = verified(found)
-    # of sets of three or more candidates only a star was verified: their other pairs are, where that left them apart
-    stars = found.where("not whole")
-    rest = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
+    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).select("a", "b").distinct(), "found")
+    # first each set with its least candidate only, so that a group of copies costs a pair a copy, however many buckets it meets in
+    links = verified(found.groupBy("b").agg(F.min("a").alias("a")))
     of = connected_components(links)
-    if stars.limit(1).count():
-        again = nodes.join(rest, "rep").join(of, F.col("rep") == F.col("node"), "left").withColumn("known", F.coalesce("component", "rep"))
-        links = links.union(verified(compared(again.select("n", "short", "rep", *prints, "known"), [*sent, "known"])))
-        of = connected_components(links)
+    # then, in the buckets again, all candidates that this left apart
+    rest = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
+    again = nodes.join(rest, "rep").join(of, F.col("rep") == F.col("node"), "left").withColumn("known", F.coalesce("component", "rep"))
+    more = verified(compared(again.select("n", "short", "rep", *prints, "known"), [*sent, "known"]))
+    if more.limit(1).count():
+        of = connected_components(links.union(more))
     joined = classes.select("d", "least").join(of, F.col("d") == F.col("node"), "left").select("d", "least", F.coalesce("component", "d").alias("c"))
     least = joined.groupBy("c").agg(F.min("least").alias("least"))
     return marked.select("id", "x", "d").join(joined.select("d", "c"), "d").join(least, "c").select("id", "x", "least")
