@@ -39,7 +39,6 @@ from lodestone.llm.components import connected_components
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BUCKET = 65_536
-SMALL_SET = 2
 SHORT_TEXT = 32
 MISSED = 5e-4
 
@@ -166,11 +165,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
     return _compared(keys.select("t", "key", "rep", F.col("fp").alias("f0")), 1, radius, max_bucket)
 
 
-def near_pairs(fps: np.ndarray, sets: Sets, radius: int, small: int, known: np.ndarray | None = None, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(a, b, whole): the pairs of rows within radius, a before b, both of one set.
+def near_pairs(fps: np.ndarray, sets: Sets, radius: int, n: np.ndarray, similarity: float, known: np.ndarray | None = None, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance): candidates of one set, a before b, within radius and of sizes n that allow the likeness.
 
-    Sets of more than small rows give only a star, with whole false. With known, rows' components, they give all
-    pairs whose components differ, and the smaller sets do so as well.
+    Each b comes with its nearest a only. With known, rows' components, all pairs come whose components differ.
     """
     root = sets.flatten()
     order = np.argsort(root, kind="stable")
@@ -178,36 +176,41 @@ def near_pairs(fps: np.ndarray, sets: Sets, radius: int, small: int, known: np.n
     sizes = np.diff(np.append(heads, len(order)))
 
     def near(a, b):
-        ok = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= radius
+        distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+        ok = (distance <= radius) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
         if known is not None:
             ok &= known[a] != known[b]
-        return a[ok], b[ok]
-
+        a, b, distance = a[ok], b[ok], distance[ok]
+        if known is None and len(b):
+            best = np.lexsort((a, distance, b))
+            best = best[np.concatenate([[True], b[best][1:] != b[best][:-1]])]
+            a, b, distance = a[best], b[best], distance[best]
+        return a, b, distance
+
+    small = 32
     for m in np.unique(sizes[(sizes > 1) & (sizes <= small)]).tolist():
         members = order[heads[sizes == m][:, None] + np.arange(m)]
         i, k = np.triu_indices(m, 1)
         step = max(1, chunk // len(i))
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            yield *near(part[:, i].ravel(), part[:, k].ravel()), True
+            yield near(part[:, i].ravel(), part[:, k].ravel())
     for head, m in zip(heads[sizes > small].tolist(), sizes[sizes > small].tolist()):
         members = order[head : head + m]
-        if known is None:
-            yield np.repeat(members[:1], m - 1), members[1:], False
-            continue
-        for at in range(m - 1):
-            a, b = near(np.repeat(members[at], m - at - 1), members[at + 1 :])
-            if len(a):
-                yield a, b, True
+        for at in range(1, m):
+            found = near(members[:at], np.repeat(members[at], at))
+            if len(found[0]):
+                yield found
 
 
-def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, small: int = 0) -> DataFrame:
+def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, similarity: float = 0.0) -> DataFrame:
     """(a, b): stars over the rows (t, key, rep, f0, ...) that share a bucket (t, key) and lie within radius.
 
-    With small it is (a, b, whole), as near_pairs() gives them; a column known of keys tells which rows are connected already.
+    With similarity it is (a, b, distance), as near_pairs() gives them for sets of the sizes in a column n; a column known of keys tells
+    which rows are connected already.
     """
     spark = keys.sparkSession
-    known = ["known"] if "known" in keys.columns else []
+    known = [c for c in ("n", "known") if c in keys.columns]
     prints = [f"f{k}" for k in range(n_words)]
     big = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("t", "key", F.ceil(F.col("n") / max_bucket).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
@@ -227,12 +230,13 @@ def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, small
             rows, end = rows[several], (np.concatenate([[0], np.cumsum(several)])[end])[several]
             words = np.ascontiguousarray(rows[:, 4 : 4 + n_words]).view(np.uint64)
             sets = bit_sliced_links(words, end, radius)
-            if not small:
+            if not similarity:
                 a, b = sets.links()
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], ["a", "b"])
                 return
-            for a, b, whole in near_pairs(words, sets, radius, small, rows[:, -1] if known else None):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3]), pa.array(np.full(len(a), whole))], ["a", "b", "whole"])
+            n, of = rows[:, 4 + n_words], rows[:, 5 + n_words] if "known" in known else None
+            for a, b, distance in near_pairs(words, sets, radius, n, similarity, of):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3]), pa.array(distance)], ["a", "b", "distance"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -248,7 +252,7 @@ def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, small
             yield from work(held[0])
 
     dealt = parts.repartition(partitions(spark), "t", "key", "part").sortWithinPartitions("t", "key", "part", "rep")
-    return dealt.mapInArrow(compare, "a bigint, b bigint" + (", whole boolean" if small else ""))
+    return dealt.mapInArrow(compare, "a bigint, b bigint" + (", distance bigint" if similarity else ""))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = SHINGLE_WORDS, agree: int | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -383,13 +387,14 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
 
     def compared(nodes: DataFrame, names: list[str]) -> DataFrame:
         keys = nodes.mapInArrow(key_of(names), f"t int, key bigint, {', '.join(f'{c} bigint' for c in names)}")
-        return _compared(keys, COMPARED_WORDS, radius, max_bucket, SMALL_SET)
-
-    nodes = classes.where("n > 0").withColumnRenamed("d", "rep")
-    sent = ["rep", *prints[:COMPARED_WORDS]]
-    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).select("a", "b").distinct(), "found")
-    # first each set with its least candidate only, so that a group of copies costs a pair a copy, however many buckets it meets in
-    links = verified(found.groupBy("b").agg(F.min("a").alias("a")))
+        return _compared(keys, COMPARED_WORDS, radius, max_bucket, similarity)
+
+    nodes = classes.where("n > 0").withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("d", "rep")
+    sent = ["rep", *prints[:COMPARED_WORDS], "n"]
+    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
+    # first each set with the nearest candidate before it, so that a group of copies costs a pair a copy, however many buckets it meets in
+    nearest = found.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("e"))
+    links = verified(nearest.select("e.a", "b"))
     of = connected_components(links)
     # then, in the buckets again, all candidates that this left apart
     rest = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
