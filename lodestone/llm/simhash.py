@@ -18,7 +18,9 @@ documents, so that buckets stay at about the 64 lanes of a machine word, and the
 tables follows, so that recall stays. The comparison is the same. What it finds are candidates only: a pair is
 linked where the Jaccard likeness of the two whole shingle sets, counted exactly, reaches the
 wanted one. Majorities of few shingles differ more often, so short texts are looked up by
-shingles instead: of two sets at the likeness the smallest hashes of each share one.
+shingles instead: of two sets at the likeness the smallest hashes of each share one. First each set is
+held against its nearest candidate alone, by a join. Where that leaves parts of a connected group of candidates
+apart, the group's sets are dealt to tasks in chunks, two a task, which verify the pairs and emit stars of the links.
 """
 
 from __future__ import annotations
@@ -165,23 +167,29 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, agree: int = 2, max_
     return _compared(keys.select("t", "key", "rep", F.col("fp").alias("f0")), 1, radius, max_bucket)
 
 
-def near_pairs(fps: np.ndarray, sets: Sets, radius: int, n: np.ndarray, similarity: float, known: np.ndarray | None = None, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance): candidates of one set, a before b, within radius and of sizes n that allow the likeness.
+def near_pairs(fps: np.ndarray, sets: Sets, radius: int, n: np.ndarray, similarity: float, linked: Sets, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance): each row b with the nearest row a before it, of those in one set, within radius and of sizes n that allow the likeness.
 
-    Each b comes with its nearest a only. With known, rows' components, all pairs come whose components differ.
+    All pairs that fulfil these conditions, nearest or not, are united in linked.
     """
     root = sets.flatten()
     order = np.argsort(root, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]])) if len(order) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(order)))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def unite(least):
+        if sum(len(a) for a, _ in waiting) > least:
+            linked.union(np.concatenate([a for a, _ in waiting]), np.concatenate([b for _, b in waiting]))
+            waiting.clear()
 
     def near(a, b):
         distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
         ok = (distance <= radius) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
-        if known is not None:
-            ok &= known[a] != known[b]
         a, b, distance = a[ok], b[ok], distance[ok]
-        if known is None and len(b):
+        waiting.append((a, b))
+        unite(chunk)
+        if len(b):
             best = np.lexsort((a, distance, b))
             best = best[np.concatenate([[True], b[best][1:] != b[best][:-1]])]
             a, b, distance = a[best], b[best], distance[best]
@@ -201,16 +209,51 @@ def near_pairs(fps: np.ndarray, sets: Sets, radius: int, n: np.ndarray, similari
             found = near(members[:at], np.repeat(members[at], at))
             if len(found[0]):
                 yield found
+    unite(0)
+
+
+def alike_links(fps: np.ndarray, n: np.ndarray, known: np.ndarray, own: np.ndarray, elements: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the sets whose exact likeness reaches similarity, of those within radius and of different known components.
+
+    elements holds the sets one after the other, n elements each. Where own, the sets' chunks, has two values, only pairs across are compared.
+    """
+    m = len(n)
+    starts = np.cumsum(n) - n
+    code = np.unique(elements, return_inverse=True)[1]
+    holders = np.repeat(np.arange(m), n)[np.argsort(code, kind="stable")]
+    ends = np.cumsum(np.bincount(code))
+    across = len(np.unique(own)) > 1
+    sets = Sets(m)
+    for k in range(1, m):
+        distance = np.bitwise_count(fps[:k] ^ fps[k]).sum(axis=1, dtype=np.int64)
+        near = (distance <= radius) & (np.minimum(n[:k], n[k]) >= similarity * np.maximum(n[:k], n[k])) & (known[:k] != known[k])
+        if across:
+            near &= own[:k] != own[k]
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        common = np.zeros(m, np.int64)
+        mine = code[starts[k] : starts[k] + n[k]]
+        firsts = np.where(mine > 0, ends[mine - 1], 0)
+        counts = ends[mine] - firsts
+        for lo in range(0, len(mine), 1 << 16):
+            hi = min(len(mine), lo + (1 << 16))
+            c = counts[lo:hi]
+            places = np.repeat(firsts[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            common += np.bincount(holders[places], minlength=m)
+        found = at[common[at] / (n[at] + n[k] - common[at]) >= similarity]
+        sets.union(found, np.full(len(found), k))
+    return sets.links()
 
 
 def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, similarity: float = 0.0) -> DataFrame:
     """(a, b): stars over the rows (t, key, rep, f0, ...) that share a bucket (t, key) and lie within radius.
 
-    With similarity it is (a, b, distance), as near_pairs() gives them for sets of the sizes in a column n; a column known of keys tells
-    which rows are connected already.
+    With similarity it is (a, b, distance), as near_pairs() gives them for sets of the sizes in a column n, and stars over all near pairs,
+    whose distance is null.
     """
     spark = keys.sparkSession
-    known = [c for c in ("n", "known") if c in keys.columns]
+    known = ["n"] if similarity else []
     prints = [f"f{k}" for k in range(n_words)]
     big = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("t", "key", F.ceil(F.col("n") / max_bucket).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
@@ -234,9 +277,11 @@ def _compared(keys: DataFrame, n_words: int, radius: int, max_bucket: int, simil
                 a, b = sets.links()
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], ["a", "b"])
                 return
-            n, of = rows[:, 4 + n_words], rows[:, 5 + n_words] if "known" in known else None
-            for a, b, distance in near_pairs(words, sets, radius, n, similarity, of):
+            linked = Sets(len(rows))
+            for a, b, distance in near_pairs(words, sets, radius, rows[:, 4 + n_words], similarity, linked):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3]), pa.array(distance)], ["a", "b", "distance"])
+            b, a = linked.links()
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3]), pa.nulls(len(a), pa.int64())], ["a", "b", "distance"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -276,6 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp", "left").select("id", "fp", "component")
 
 
+#: A group of candidates is cut into chunks of so many sets, but into no more than GROUP_CHUNKS; beyond that into chunks of so many sets or shingles.
+GROUP_ROWS = (128, 16_384)
+GROUP_CHUNKS = 16
+GROUP_SHINGLES = 1 << 20
 WIDE_WORDS = 4
 COMPARED_WORDS = 2  # the other words key the tables
 _SALTS = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -371,37 +420,58 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, similarity: float, shing
     rng = np.random.default_rng(SEED)
     chosen = [np.sort(rng.permutation(64 * (WIDE_WORDS - COMPARED_WORDS))[:key_bits]) for _ in range(tables)]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole shingle sets are alike enough."""
-        pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
-        asked = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-        rows = classes.join(asked, "d").select("d", "least.id", "least.x")
-        sets = materialize(bounded(picked.join(rows, ["id", "x"]).select("d", "text")).mapInArrow(whole, "d bigint, s array<bigint>"), "shingle-sets")
-        both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
-        n = F.size("sa") + F.size("sb")
-        common = F.size(F.array_intersect("sa", "sb"))
-        verified_at = standing()
-        kept = materialize(both.where(F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb")) >= similarity).where(common / (n - common) >= similarity).select("a", "b"), "verified")
-        free(docs.sparkSession, verified_at - 2, (kept,))  # the candidates and their sets
-        return kept
-
-    def compared(nodes: DataFrame, names: list[str]) -> DataFrame:
-        keys = nodes.mapInArrow(key_of(names), f"t int, key bigint, {', '.join(f'{c} bigint' for c in names)}")
-        return _compared(keys, COMPARED_WORDS, radius, max_bucket, similarity)
+    @lean
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows and elements of one (group, part)
+
+        def work() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate([r for r, _ in held])
+            words = np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+            a, b = alike_links(words, rows[:, 5], rows[:, 4], rows[:, 2], np.concatenate([e for _, e in held]), radius, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("g", "part", "own", "d", "known", "n", *prints[:COMPARED_WORDS])], axis=1)
+            elements = batch.column("s").flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(rows[:, 5])])
+            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+                if hi > lo:
+                    if held and (held[0][0][0, :2] != rows[lo, :2]).any():
+                        yield from work()
+                        held.clear()
+                    held.append((rows[lo:hi], elements[ends[lo] : ends[hi]].copy()))
+        if held:
+            yield from work()
 
     nodes = classes.where("n > 0").withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("d", "rep")
     sent = ["rep", *prints[:COMPARED_WORDS], "n"]
-    found = materialize(compared(nodes.select("n", "short", "rep", *prints), sent).groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
+    keys = nodes.select("n", "short", "rep", *prints).mapInArrow(key_of(sent), f"t int, key bigint, {', '.join(f'{c} bigint' for c in sent)}")
+    pairs = _compared(keys, COMPARED_WORDS, radius, max_bucket, similarity)
+    found = materialize(pairs.groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
+    asked = found.select(F.col("a").alias("d")).union(found.select(F.col("b").alias("d"))).distinct()
+    rows = classes.join(asked, "d").select("d", "least.id", "least.x")
+    texts = picked.join(rows, ["id", "x"]).dropDuplicates(["id", "x"]).select("d", "text")
+    sets = materialize(bounded(texts).mapInArrow(whole, "d bigint, s array<bigint>"), "shingle-sets")
     # first each set with the nearest candidate before it, so that a group of copies costs a pair a copy, however many buckets it meets in
-    nearest = found.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("e"))
-    links = verified(nearest.select("e.a", "b"))
+    nearest = found.where(F.col("distance").isNotNull()).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("e")).select("e.a", "b")
+    both = nearest.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = materialize(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"), "verified")
     of = connected_components(links)
-    # then, in the buckets again, all candidates that this left apart
-    rest = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
-    again = nodes.join(rest, "rep").join(of, F.col("rep") == F.col("node"), "left").withColumn("known", F.coalesce("component", "rep"))
-    more = verified(compared(again.select("n", "short", "rep", *prints, "known"), [*sent, "known"]))
+    # then, in each group connected by candidates, the pairs that this left apart
+    grouped = connected_components(found).select(F.col("node").alias("d"), F.col("component").alias("g"))
+    grouped = grouped.join(of, F.col("d") == F.col("node"), "left").select("d", "g", F.coalesce("component", "d").alias("known"))
+    grouped = materialize(grouped.join(classes.select("d", F.col("n").cast("bigint").alias("n"), *prints[:COMPARED_WORDS]), "d"), "groups")
+    chunks = F.greatest(F.least(F.ceil(F.count(F.lit(1)) / GROUP_ROWS[0]), F.lit(GROUP_CHUNKS)), F.ceil(F.count(F.lit(1)) / GROUP_ROWS[1]), F.ceil(F.sum("n") / GROUP_SHINGLES))
+    apart = grouped.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), chunks.cast("int").alias("chunks")).where("lo < hi").select("g", "chunks")
+    dealt = grouped.join(apart, "g").withColumn("own", F.pmod(F.xxhash64("d", F.lit(7)), F.col("chunks")).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, F.col("own")) * F.col("chunks") + F.greatest(o, F.col("own")))
+    dealt = dealt.join(sets, "d").select("g", "own", "d", "known", "n", *prints[:COMPARED_WORDS], "s", F.explode(parts).alias("part"))
+    dealt = bounded(dealt.repartition(partitions(docs.sparkSession), "g", "part").sortWithinPartitions("g", "part", "d"))
+    more = materialize(dealt.mapInArrow(verify, "a bigint, b bigint"), "more")
     if more.limit(1).count():
-        of = connected_components(links.union(more))
+        of = connected_components(links.unionByName(more))
     joined = classes.select("d", "least").join(of, F.col("d") == F.col("node"), "left").select("d", "least", F.coalesce("component", "d").alias("c"))
     least = joined.groupBy("c").agg(F.min("least").alias("least"))
     return marked.select("id", "x", "d").join(joined.select("d", "c"), "d").join(least, "c").select("id", "x", "least")

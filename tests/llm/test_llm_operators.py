@@ -165,6 +165,36 @@ def test_similar_documents_are_exactly_those_alike_at_the_likeness(spark):
     assert {tuple(r) for r in simhash.similar_documents(few).collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 3)}
 
 
+def test_short_texts_that_share_most_words_are_linked_only_at_the_likeness(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(34)]
+    texts = []
+    for _ in range(150):  # one to three words of one text changed: likenesses from 0.5 to 1, of which few are links
+        copy = list(base)
+        for at in rnd.sample(range(34), rnd.choice([1, 2, 2, 3, 3])):
+            copy[at] = word()
+        texts.append(copy[: rnd.choice([34, 34, 36, 30])])
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    edges = [(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) / len(sets[i] | sets[k]) >= 0.8]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(docs, max_bucket=40).collect()}
+    want = components(len(sets), edges)
+    assert 1 < len(set(want)) and [got[i] for i in range(len(sets))] == want
+
+
+@pytest.mark.parametrize("chunks", [1, 2])
+def test_links_of_a_group_are_the_alike_pairs_between_components(chunks):
+    rnd = random.Random(12)
+    base = rnd.sample(range(1 << 40), 30)
+    sets = [sorted(set(rnd.sample(base, rnd.randrange(18, 31))) | {rnd.randrange(1 << 40) for _ in range(rnd.randrange(3))}) for _ in range(80)]
+    n, known, own = np.array(list(map(len, sets))), np.arange(80) // 2, np.arange(80) % chunks
+    a, b = simhash.alike_links(np.zeros((80, 2), np.uint64), n, known, own, np.concatenate(sets), 0, 0.8)
+    like = lambda i, k: len(set(sets[i]) & set(sets[k])) / len(set(sets[i]) | set(sets[k]))
+    want = [(i, k) for i in range(80) for k in range(i) if known[i] != known[k] and (chunks == 1 or own[i] != own[k]) and like(i, k) >= 0.8]
+    assert want and components(80, zip(a.tolist(), b.tolist())) == components(80, want)
+
+
 def test_dropping_near_duplicates_judges_rows_that_repeat_an_id_by_their_texts(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
     rows = [(1, a), (1, b), (2, c), (3, b), (4, a), (5, c), (5, "alone"), (6, "twice"), (6, "twice")]
