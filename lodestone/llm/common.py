@@ -155,11 +155,22 @@ def lean(run: Callable) -> Callable:
     return lean_run
 
 
+def _from_zero(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The same texts, without nulls, with offsets that count from zero, on the same bytes. A slice cast to large strings keeps offsets into
+    the bytes before it, which pc.ascii_lower (pyarrow 23) returns beside the slice's own bytes: reads beyond their end."""
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = pa.py_buffer(b"") if data is None else data.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), data)
+
+
 def word_codes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words [^\\x20\\x09-\\x0D]+ of each text: (code of every word, first word of each text plus the end, distinct words)."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if lower:
-        texts = pc.ascii_lower(texts)
+        texts = pc.ascii_lower(_from_zero(texts))
     lists = pc.ascii_split_whitespace(texts)
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.large_binary()).dictionary_encode()

@@ -554,6 +554,25 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert quality.train(nothing, labels) is None and quality.score(odd, None).first()["quality_score"] == 0.5
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_of_slices_equal_words_of_texts(kind):
+    texts = ["The first OF many\tWords", None, "", "A b  C\x0bd", "É Last one", "x"]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+    for lower in (True, False):
+        got = []
+        for part in common.slices(iter([whole]), "text", 8):
+            codes, first, words = common.word_codes(part.column("text"), lower)
+            got += [[words[c].decode() for c in codes[a:b]] for a, b in zip(first, first[1:])]
+        low = lambda t: t.translate({c: c + 32 for c in range(65, 91)}) if lower else t
+        assert got == [WORD.findall(low(t or "")) for t in texts]
+
+
+def test_language_model_counts_the_words_of_a_text_that_begins_a_slice(spark):
+    rows = [(i, " ".join(f"Word{i % 3}" for _ in range(n))) for i, n in enumerate((300_000, 300_000, 300_000, 4_000, 5))]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in got} == {i: (t.count(" ") + 2,) * 2 for i, t in rows}
+
+
 def test_language_model_scores(docs, texts):
     got = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
     words = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
